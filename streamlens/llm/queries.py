@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, quality, sharding, simhash, toxicity
+from . import media, packing, pieces, quality, sharding, simhash, toxicity, vectors
 from .common import hash_bucket
 
 
@@ -46,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (hash_bucket(toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids_sha256 is of the packed ids, which are little-endian already; spans_sha256 is of the packed span ends."""
     found = pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
+    "op8_embeddings": op8_embeddings,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
