@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, quality, sharding, simhash, toxicity, vectors
+from . import language_model, media, packing, pieces, quality, sharding, simhash, toxicity, vectors
 from .common import hash_bucket
 
 
@@ -50,6 +50,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids_sha256 is of the packed ids, which are little-endian already; spans_sha256 is of the packed span ends."""
     found = pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("piece_bpe_32k.model"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
+    "op9_language_model": op9_language_model,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
