@@ -6,16 +6,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamlens.llm import packing
+from streamlens.llm import packing, quality, simhash, substrings, toxicity
 from streamlens.llm.common import scratch
 from streamlens.llm.queries import tokenizer_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.cut_repeats(docs)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", pack_documents)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("best-fit packing", pack_documents),
+]
 
 #: Tokenizers, classifiers and similarity verification are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, media, packing, pieces, quality, sharding, simhash, toxicity, vectors
+from . import language_model, media, packing, pieces, quality, sharding, simhash, substrings, toxicity, vectors
 from .common import hash_bucket
 
 
@@ -40,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (hash_bucket(quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, toxicity.learn(docs, labels))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_passages": op6_passages,
     "op7_toxicity": op7_toxicity,
     "op8_embeddings": op8_embeddings,
     "op9_language_model": op9_language_model,

@@ -117,3 +117,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     least = shared_table(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least-ids")
     class_ids = shared_table(named.join(least, "component").select("fp", "component_id"), "class-ids")
     return own.join(class_ids, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
+    """docs, columns unchanged, with one row of each group of near-duplicates: the one with the least doc_id, and one row of that id.
+
+    Rows without an id stay: nothing names their group. Only ids are joined back, on the id's own exchange."""
+    from pyspark.sql import Window as W
+
+    found = near_duplicates(docs, width)
+    kept = shared_table(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    named = docs.join(kept, docs["doc_id"] == kept["_kept"]).withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("_kept"))).filter("_n = 1")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).union(docs.filter(F.col("doc_id").isNull()))
