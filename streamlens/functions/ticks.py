@@ -39,7 +39,7 @@ def seconds_of(value: float, scale: str) -> float:
 
 def ticks_of(ts: Column) -> Column:
     """Ticks of a TIMESTAMP_NTZ column, read as UTC."""
-    return F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), ts.cast("timestamp_ntz")) * F.lit(10).cast("long")
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) * F.lit(10).cast("long")
 
 
 def modulo(v: Column, base: Column) -> Column:

@@ -17,7 +17,8 @@ def between_ticks(ts: Column, start: int, end: int) -> Column:
     are coarser than ticks: the bounds are narrowed to whole ones."""
     epoch, low, high = datetime(1970, 1, 1), datetime.min, datetime.max
     at = lambda us: max(low, min(high, epoch + timedelta(microseconds=us))) if abs(us) < 6 * 10**16 else (low if us < 0 else high)
-    return ts.between(F.lit(at(-(-start // 10))).cast("timestamp_ntz"), F.lit(at(end // 10)).cast("timestamp_ntz"))
+    literal = lambda us: F.lit(at(us).isoformat(sep=" ")).cast("timestamp_ntz")  # noqa: E731  as text: a datetime would depend on the time zone
+    return ts.between(literal(-(-start // 10)), literal(end // 10))
 
 
 def table_source(df: DataFrame, ts: str = "ts", id_col: str | None = None) -> Source:
