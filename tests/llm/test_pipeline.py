@@ -56,3 +56,17 @@ def test_registered_queries(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op1_sharding", "op5_quality", "op7_toxicity"):
         assert names[name](spark, sf_dir).count() == n
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    df, found = queries.QUERIES[name](spark, sf_dir), con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(found.columns) == columns
+    at = [found.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[k] for k in at) for r in found.fetchall()), key=repr)
