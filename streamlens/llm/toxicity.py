@@ -10,7 +10,7 @@ the class prior.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ SAMPLE = 2500
 #: Most voters mined from the sample, beside the lexicon and the patterns.
 MINED = 400
 #: Most terms (words and word beginnings) that the classifier weighs.
-TERMS = 4000
+TERMS = 1000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 LEXICON = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "imbecile", "filth", "vermin", "jerk", "hate you", "shut up", "kill yourself")
@@ -98,85 +98,95 @@ def label_model(votes: np.ndarray, prior: float, anchor: np.ndarray, rounds: int
         held = (posterior + anchor) / 2
         right = held @ agree_toxic + (1 - held) @ (cast - agree_toxic)
         accuracy = np.clip((right + 1.8) / (cast.sum(0) + 2), 0.55, 0.995)  # a voter is better than chance
-        new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + votes @ (weight * np.log(accuracy / (1 - accuracy))), -30, 30)))
+        # The accuracy of a vote holds the prior already: alone it makes the posterior, and each further one adds its likelihood ratio.
+        odds = np.log(prior / (1 - prior))
+        new = 1 / (1 + np.exp(-np.clip(odds + votes @ (weight * np.log(accuracy / (1 - accuracy))) - cast @ weight * odds, -30, 30)))
         moved, posterior = np.abs(new - posterior).max(), new
         if moved < 1e-6:
             break
     return posterior, accuracy, weight
 
 
-def _distinct(terms: list[str], toxic: Counter, clean: Counter) -> list[str]:
-    """terms without those that share their first letters and their counts with an earlier one: a word and its beginning would vote the same twice."""
-    out, seen = [], set()
-    for t in dict.fromkeys(terms):
-        same = (t.rstrip("*")[: BEGINNINGS[0]], toxic[t], clean[t])
-        if same not in seen:
-            seen.add(same)
-            out.append(t)
+def _distinct(ids: list[int], names: list[str], toxic: np.ndarray, clean: np.ndarray) -> list[int]:
+    """ids of terms without those that an earlier term with the same first letters makes superfluous: it has nine tenths of their toxic
+    rows at least, and no more clean ones. A word and its beginning would vote the same twice."""
+    out, seen = [], {}
+    for k in dict.fromkeys(ids):
+        same = seen.setdefault(names[k].rstrip("*")[: BEGINNINGS[0]], [])
+        if not any(toxic[j] >= 0.9 * toxic[k] and clean[j] <= clean[k] for j in same):
+            same.append(k)
+            out.append(k)
     return out
 
 
-def fit(rows: list[tuple[set[str], list[str], int]]) -> Detector:
-    """A detector from (words, patterns matched, label) of sampled rows; from none, one that weighs the lexicon alone."""
-    if not rows:
+def fit(rows: Iterable[tuple[Iterable[str], Iterable[str], int]]) -> Detector:
+    """A detector from (words, patterns matched, label) of sampled rows; from none, one that weighs the lexicon alone. Terms are held as numbers, each text of them once."""
+    number: dict[str, int] = {}
+    held, labels, patterns = [], [], []
+    for words, matched, label in rows:
+        held.append(np.unique(np.fromiter((number.setdefault(t, len(number)) for w in words for t in terms_of(w)), np.int32)))
+        patterns.append([name in matched for name in _PATTERNS])
+        labels.append(label)
+    if not held:
         return Detector({w: 6.0 for w in LEXICON}, -4.0)
-    y = np.array([r[2] for r in rows])
-    terms = [{t for w in r[0] for t in terms_of(w)} for r in rows]
-    toxic, clean = Counter(), Counter()
-    for t, label in zip(terms, y, strict=True):
-        (toxic if label else clean).update(t)
+    y, names = np.array(labels), list(number)
+    row, col = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
+    toxic, every = (np.bincount(col[pick], minlength=len(names)) for pick in (y[row] == 1, slice(None)))
+    clean = every - toxic
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     # Mined voters: at least three toxic rows, and twenty times as common among toxic rows as among clean ones.
-    ratio = {t: (k / n1) / ((clean[t] + 0.5) / n0) for t, k in toxic.items() if k >= 3}
-    mined = sorted((t for t, r in ratio.items() if r >= 20), key=lambda t: (-toxic[t] * min(ratio[t], 1000), t))[:MINED]
-    voters = _distinct([*(w for w in LEXICON if toxic[w] + clean[w]), *mined], toxic, clean)
-    votes = np.zeros((len(rows), len(voters) + len(_PATTERNS) + 1), np.int8)
-    at = {t: k for k, t in enumerate(voters)}
-    for k, (t, r) in enumerate(zip(terms, rows, strict=True)):
-        for hit in t & at.keys():
-            votes[k, at[hit]] = 1
-        for j, name in enumerate(_PATTERNS):
-            votes[k, len(voters) + j] = name in r[1]
+    ratio = (toxic / n1) / ((clean + 0.5) / n0)
+    mined = sorted(np.flatnonzero((toxic >= 3) & (ratio >= 20)).tolist(), key=lambda k: (-toxic[k] * min(ratio[k], 1000), names[k]))[:MINED]
+    voters = _distinct([*(number[w] for w in LEXICON if w in number), *mined], names, toxic, clean)
+    at = np.full(len(names), -1)
+    at[voters] = np.arange(len(voters))
+    votes = np.zeros((len(held), len(voters) + len(_PATTERNS) + 1), np.int8)
+    hit = at[col] >= 0
+    votes[row[hit], at[col[hit]]] = 1
+    votes[:, len(voters) : -1] = np.array(patterns)
     votes[:, -1] = np.where((votes[:, : len(voters)] > 0).any(1), 0, -1)  # the voter for clean: no lexicon or mined term at all
     prior = float(np.clip(y.mean(), 0.02, 0.98))
     posterior, accuracy, weight = label_model(votes, prior, y)
 
-    # The classifier's terms: the voters, and others that the posterior makes at least twenty times as common among toxic rows.
-    share: dict[str, list[float]] = {}
-    for t, p in zip(terms, posterior, strict=True):
-        for x in t:
-            got = share.setdefault(x, [0.0, 0.0])
-            got[0] += p
-            got[1] += 1 - p
-    p1, p0 = max(posterior.sum(), 1e-9), max((1 - posterior).sum(), 1e-9)
-    ratios = {t: (a / p1) / ((b + 0.5) / p0) for t, (a, b) in share.items() if a + b >= 5}
-    chosen = _distinct([*voters, *sorted((t for t, r in ratios.items() if r >= 20), key=lambda t: (-ratios[t] * share[t][0], t))], toxic, clean)[:TERMS]
-    index = {t: k for k, t in enumerate(chosen)}
-    row, col = [], []
-    for k, t in enumerate(terms):
-        hits = [index[x] for x in t if x in index]
-        row += [k] * len(hits)
-        col += hits
-    weights, bias = _logistic(np.array(row), np.array(col), len(chosen), posterior)
-    names = [*voters, *_PATTERNS, "no term"]
-    kept = {t: float(w) for t, w in zip(chosen, weights, strict=True) if abs(w) > 1e-4}
-    return Detector(kept, bias, dict(zip(names, accuracy.tolist(), strict=True)), dict(zip(names, (1 / weight - 1).tolist(), strict=True)))
-
-
-def _logistic(row: np.ndarray, col: np.ndarray, m: int, target: np.ndarray, steps: int = 2000, l1: float = 1e-5, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Proximal Adagrad with a sparsity penalty: terms that explain nothing end at zero."""
-    w, b, n = np.zeros(m), 0.0, len(target)
-    gw, gb = np.full(m, 1e-8), 1e-8
+    # The classifier's terms: the voters, and others that the posterior makes at least fifty times as common among toxic rows.
+    mass = np.bincount(col, posterior[row], len(names))
+    ratio = (mass / max(posterior.sum(), 1e-9)) / ((every - mass + 0.5) / max((1 - posterior).sum(), 1e-9))
+    more = sorted(np.flatnonzero((every >= 5) & (ratio >= 50)).tolist(), key=lambda k: (-ratio[k] * mass[k], names[k]))
+    chosen = _distinct([*voters, *more], names, toxic, clean)[:TERMS]
+    at = np.full(len(names), -1)
+    at[chosen] = np.arange(len(chosen))
+    hit = at[col] >= 0
+    weights, bias = _logistic(row[hit], at[col[hit]], len(chosen), posterior)
+    kept = {names[k]: float(w) for k, w in zip(chosen, weights, strict=True) if abs(w) > 1e-4}
+    told = [*(names[k] for k in voters), *_PATTERNS, "no term"]
+    return Detector(kept, bias, dict(zip(told, accuracy.tolist(), strict=True)), dict(zip(told, (1 / weight - 1).tolist(), strict=True)))
+
+
+def _logistic(row: np.ndarray, col: np.ndarray, m: int, target: np.ndarray, ridge: float = 0.0005, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic model of soft targets with a ridge on the weights, by damped Newton steps."""
+    x = np.zeros((len(target), m + 1))
+    x[row, col], x[:, m] = 1, 1
+    penalty = np.full(m + 1, ridge)
+    penalty[m] = 1e-6
+    w = np.zeros(m + 1)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + (penalty * w * w).sum() / 2)
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], n), -40, 40)))
-        g = np.bincount(col, (p - target)[row], m) / n
-        gw += g * g
-        gb += (p - target).mean() ** 2
-        step = rate / np.sqrt(gw)
-        w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        b -= rate / np.sqrt(gb) * (p - target).mean()
-    return w, float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        gradient = x.T @ (p - target) + penalty * w
+        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * move) > now:
+            size /= 2
+        w = w - size * move
+        before, now = now, loss(w)
+        if before - now < 1e-7 * max(1.0, before):
+            break
+    return w[:m], float(w[m])
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Detector:
@@ -190,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Detector:
 
     kind = sample.schema["doc_id"].dataType.simpleString()
     found = map_slices(sample.select("doc_id", "text", "y"), seen, f"doc_id {kind}, y int, words string, patterns string").toPandas().sort_values(["doc_id", "words"], kind="stable").head(2 * most)
-    return fit([(set(w.split("\n")), p.split("\n"), int(y)) for w, p, y in zip(found["words"], found["patterns"], found["y"], strict=True)])
+    return fit((w.split("\n"), p.split("\n"), int(y)) for w, p, y in zip(found["words"], found["patterns"], found["y"], strict=True))
 
 
 def score(docs: DataFrame, detector: Detector, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
