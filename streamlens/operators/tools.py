@@ -46,6 +46,32 @@ def copy(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.filter(quoted(TIME).between(start, end)).drop(ID)
 
 
+def readable(streams: dict[str, DataFrame], seconds: float) -> list[tuple[str, float]]:
+    """(name, seconds) of the streams whose first event comes within the limit; a read beyond it is cancelled."""
+    import threading
+    import time
+    import uuid
+
+    found = []
+    for name, df in streams.items():
+        context, group = df.sparkSession.sparkContext, f"readable-{uuid.uuid4().hex}"
+        context.setJobGroup(group, f"first event of {name}", interruptOnCancel=True)
+        timer = threading.Timer(seconds, context.cancelJobGroup, (group,))
+        timer.start()
+        began = time.monotonic()
+        try:
+            df.take(1)
+            took = time.monotonic() - began
+            if took <= seconds:
+                found.append((name, took))
+        except Exception:  # noqa: BLE001  cancelled, or not readable at all: either way not listed
+            pass
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
+    return found
+
+
 def dump_json(df: DataFrame) -> Iterator[str]:
     return (r[0] for r in df.orderBy(*(quoted(c) for c in (TIME, ID) if c in df.columns)).select(F.to_json(F.struct("*"))).toLocalIterator())
 

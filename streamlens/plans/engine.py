@@ -40,6 +40,10 @@ class Engine:
     def run(self, plan: nodes.Plan | dict[str, Any]) -> DataFrame:
         return self._build(nodes.parse(plan) if isinstance(plan, dict) else plan)
 
+    def status(self) -> dict[str, object]:
+        """Whether the cluster runs a job, and what is registered."""
+        return {"alive": self.spark.range(1).count() == 1, "streams": sorted(name for _, name in self.sources)}
+
     def json_lines(self, plan: nodes.Plan | dict[str, Any]) -> Iterator[str]:
         """Rows as JSON texts, a partition at a time on the driver."""
         return (r[0] for r in self.run(plan).select(F.to_json(F.struct("*"))).toLocalIterator())

@@ -13,7 +13,8 @@ from .operators import buckets, cohort, funnel, tools
 from .plans import nodes
 from .plans.engine import ID, TIME, Engine, quoted
 from .plans.nodes import Aggregate, Aggregator, All, Any_, Condition, Constant, Filter, Function, Join, Limit, OrderBy, Plan, Project, Property, Stream
-from .sources.tables import events_source
+from .sources.catalog import Catalog
+from .sources.tables import csv_events, events_source, synthetic_events
 
 DAY, HOUR, WEEK = PER_DAY, PER_UNIT["hour"], PER_UNIT["week"]
 JAN1 = to_ticks(datetime(2024, 1, 1))
@@ -102,6 +103,38 @@ plan("limit_scan_order", Limit(Project(stream(), (P(TIME), P(ID), P("event_id"))
 add("list_streams", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stream")).distinct(), "select distinct event_type as stream from events")
 add("latest_properties", lambda spark, sf_dir: tools.gauge(engine(spark, sf_dir).run(stream()), "props"), "select arg_max(props, (ts, event_id::varchar)) as value from events")
 
+def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The events, put into a new catalog."""
+    import uuid
+
+    catalog = Catalog(spark, f"{_shared(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog.put("events", engine(spark, sf_dir).run(Project(stream(), (P(TIME), P("event_id"), P("value")))))
+    return catalog
+
+
+def _catalog_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog(spark, sf_dir).retrieve("events", _A, _B, order="descending", limit=500).select(quoted(TIME).alias("t"), "event_id", "value")
+
+
+def _catalog_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _catalog(spark, sf_dir)
+    catalog.delete("events", _A, _B)
+    return Engine(spark).resolver(catalog.scan).run(Project(stream(), (P("event_id"),)))
+
+
+def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    path = f"{_shared(spark)}/csv-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("string").alias("at")).write.csv(path, header=True)
+    return csv_events(spark, path, "at").select(F.col("o_orderkey").cast("long").alias("o"), quoted(TIME).alias("t"))
+
+
+add("catalog_retrieve", _catalog_retrieve, f"select t, event_id, value from $E where t between {_A} and {_B} order by t desc limit 500")
+add("catalog_delete", _catalog_delete, f"select event_id from $E where t not between {_A} and {_B}")
+add("csv_load", _csv_load, "select o_orderkey as o, epoch_us(o_orderdate) * 10 as t from orders")
+add("synthetic", lambda spark, sf_dir: synthetic_events(spark, 1000, JAN1, 250, 2).withColumnRenamed(TIME, "t"), f"select {JAN1} + i * 2500 as t, 0::bigint as property0, 1::bigint as property1 from range(1000) r(i)")
+
 # Projection and properties ------------------------------------------------------------------------------------------------------
 plan("project_basic", Project(stream(), (P("event_id"), C(10, "ten"), fn("add", P("user_id"), P("k"), C(5), alias="total"))), "select event_id, 10::bigint as ten, user_id + k + 5 as total from $E")
 plan("project_merge", Project(Project(stream(), (P("event_id"), P("value"), P("user_id"))), (fn("multiply", P("user_id"), C(2), alias="user_id"), fn("add", P("user_id"), C(1), alias="next")), merge=True), "select event_id, value, user_id * 2 as user_id, user_id + 1 as next from events")
@@ -258,11 +291,16 @@ add("funnel_mapped", _funnel_mapped, _funnel_sql(("view", "error"), JAN1 + DAY,
 add("bucket_count", lambda spark, sf_dir: buckets.bucket_counts(engine(spark, sf_dir).run(stream()), HOUR), f"select t - t % {HOUR} as bucket, count(*) as n from $E group by 1")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streamlens-")
+
+
 def _cached(trusted_only: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import tempfile
-
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streamlens-buckets-")
+        shared = _shared(spark)
         made = lambda start, end: engine(spark, sf_dir).run(Aggregate(Filter(stream(start, end - 1), Condition("eq", P("event_type"), C("purchase"))), (fn("floor", P(TIME), C(DAY), alias=TIME),), (Aggregator("sum", (P("k"),), "total"),)))
         query = buckets.BucketedQuery(spark, f"{shared}/buckets", f"purchases-{sf_dir}", timedelta(days=1), made)
         query.compute_and_store(JAN1 + 5 * DAY, JAN1 + 10 * DAY, JAN1 + 30 * DAY)

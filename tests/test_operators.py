@@ -162,6 +162,8 @@ def test_tools(spark):
     assert tools.copy(a, 2, 3).columns == ["@time", "v"] and tools.copy(a, 2, 3).count() == 2
     assert list(tools.dump_json(a))[0] == '{"@time":1,"@id":"a","v":1}'
     assert [tuple(r) for r in tools.fields(a, ["v", "no.where"]).collect()] == [("1", None), ("1", None), ("2", None), (None, None)]
+    assert [n for n, _ in tools.readable({"a": a, "gone": spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))}, 60)] == ["a"]
+    assert Engine(spark).register("a", a).status() == {"alive": True, "streams": ["a"]}
     assert tools.sampled(a, 1, 3, 5, 0).count() <= 4
     panel = spark.createDataFrame([(2, "x", "l", 5), (1, "x", "l", 3), (1, "y", "m", 7)], "`@time` long, `@group` string, `@label` string, `@value` long")
     assert {r["group"]: [tuple(p) for p in r["points"]] for r in tools.series(panel).collect()} == {"x": [(1, 3), (2, 5)], "y": [(1, 7)]}
