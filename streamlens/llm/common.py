@@ -46,6 +46,24 @@ def hash_bucket(modulus: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bits of the filter below: a table of 2**24 / 64 rows at most, so it can be broadcast whatever the data.
+FILTER_BITS = 1 << 24
+
+
+def split_by_ids(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be among ids, rows whose id is not), by a bitmap of hashed ids; nothing of df is shuffled.
+
+    Before a join that needs few rows' texts, this keeps the others' out of the exchange. The more ids, the more rows may pass: the
+    filter saves work and never loses a row. A null id is not among ids. The bitmap is written, so that both results use one."""
+    spot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    marks = ids.toDF("_id").filter("_id is not null").select(spot(F.col("_id")).alias("_spot"))
+    words = marks.groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot % 64 as int))")).alias("_bits"))
+    words = F.broadcast(shared_table(words, "id-filter"))  # at most FILTER_BITS / 64 rows of two numbers
+    at = spot(df[f"`{id_col}`"])
+    hit = (F.shiftright(at, 6) == words["_word"]) & (F.call_function("shiftrightunsigned", words["_bits"], (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1) & df[f"`{id_col}`"].isNotNull()
+    return df.join(words, hit, "left_semi"), df.join(words, hit, "left_anti")
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """df.mapInArrow with fn applied to slices of SLICE_ROWS rows; a slice without result is skipped."""
 
