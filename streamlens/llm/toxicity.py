@@ -41,6 +41,15 @@ def words_of(text: str) -> set[str]:
     return found
 
 
+_PHRASES = tuple(p for p in LEXICON if " " in p)
+
+
+def phrases_of(text: str) -> set[str]:
+    """The lexicon's phrases that a text has."""
+    low = text.lower()
+    return {p for p in _PHRASES if p in low}
+
+
 def terms_of(word: str) -> list[str]:
     """The word and, marked by an ending *, its beginnings."""
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) >= n)]
@@ -52,18 +61,21 @@ class Detector:
     bias: float
     accuracies: dict[str, float] = field(default_factory=dict)
     correlations: dict[str, float] = field(default_factory=dict)
-    _known: dict[str, float] = field(default_factory=dict)
+    _known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def score(self, text: str) -> float:
-        total, known, weights = self.bias, self._known, self.weights
+        known, weights, found = self._known, self.weights, set()
         for w in set(text.lower().split()):
             got = known.get(w)
             if got is None:
                 bare = w.strip(_EDGE)
-                got = sum(weights.get(t, 0.0) for t in terms_of(bare)) if bare else 0.0
-                if len(known) < 200_000:  # a cache: beyond it words are weighed anew
+                got = tuple(t for t in terms_of(bare) if t in weights) if bare else ()
+                if len(known) < 200_000:  # a cache: beyond it words are looked up anew
                     known[w] = got
-            total += got
+            found.update(got)
+        for p in phrases_of(text):
+            found.update(t for t in terms_of(p) if t in weights)
+        total = self.bias + sum(weights[t] for t in sorted(found))  # each term once, as in training
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
     def __getstate__(self):
@@ -195,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Detector:
 
     def seen(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        words = [sorted(words_of(t) | {p for p in LEXICON if " " in p and p in t.lower()}) for t in texts]
+        words = [sorted(words_of(t) | phrases_of(t)) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(["\n".join(w) for w in words]), pa.array(["\n".join(n for n, p in _PATTERNS.items() if p.search(t)) for t in texts])], ["doc_id", "y", "words", "patterns"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
