@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import zlib
 from array import array
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import id_text, map_slices, shared_table
 
+_LOG = logging.getLogger(__name__)
 SEQUENCE = 2048
 END_ID = 0
 #: Nodes that the search may open after the first descent; the incumbent stands when they are spent.
@@ -189,7 +191,7 @@ def bin_completion(histogram: dict[int, int], sequence: int = SEQUENCE, nodes: i
     Branch and bound by bin completion: the largest length left is joined by an undominated set of lengths, the filling is
     repeated as often as the counts allow, and a branch is dropped once its waste exceeds what a solution better than the
     incumbent may waste. The incumbent starts as best fit; a solution at the lower bound ends the search. Work depends on the
-    number of distinct lengths, not on the number of documents."""
+    number of distinct lengths, not on the number of documents. The log tells how many sequences the result has over the lower bound."""
     counts = np.zeros(sequence + 1, np.int64)
     for length, n in histogram.items():
         if not 0 < length <= sequence:
@@ -235,6 +237,7 @@ def bin_completion(histogram: dict[int, int], sequence: int = SEQUENCE, nodes: i
             for y, n in need.items():
                 after[y] -= n * times
             stack.append((after, ((filling, times), chain), made + times, waste + empty * times))
+    _LOG.warning("packing: %d sequences, lower bound %d, %d over it, %d nodes opened", best_n, least, best_n - least, opened)
     return best
 
 
