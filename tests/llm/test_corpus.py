@@ -299,19 +299,23 @@ def test_compact_windows_cover_every_subsequence():
     for n in (0, 1, 5, 9, 40):
         for values in (10**6, 3):
             h, least = rng.integers(0, values, n).astype(np.uint64), 4
-            found = substrings.compact_windows(h, least)
+            found = list(zip(*(x.tolist() for x in substrings.compact_windows(h + np.uint64(1), least)), strict=True))
             assert all(r - l + 1 >= least and l <= c <= r and h[c] == h[l : r + 1].min() for l, c, r in found)
             for i in range(n):
                 for j in range(i + least - 1, n):
                     assert any(l <= i and j <= r and h[c] == h[i : j + 1].min() for l, c, r in found)
-    long = np.zeros(3000, np.uint64)
-    assert substrings.compact_windows(long, 46) == [(0, 0, 2999)]
+    long = np.ones(3000, np.uint64)
+    l, c, r = substrings.compact_windows(long, 46)  # every equal place is a node of the one interval
+    assert set(l.tolist()) == {0} and set(r.tolist()) == {2999} and c.tolist() == list(range(3000))
+    l, c, r = substrings.compact_windows(long, 46, 64)
+    assert (c - l).max() == (r - c).max() == 64 and substrings.spread(c, long, 16).sum() == -(-3000 // 16)
 
 
 @pytest.mark.parametrize("frequent", [20, 1])
 def test_passages(docs, empty, texts, monkeypatch, frequent):
     monkeypatch.setattr(substrings, "FREQUENT", frequent)
     monkeypatch.setattr(substrings, "SAMPLE", 1 if frequent == 1 else 64)
+    monkeypatch.setattr(substrings, "CHUNK", 4 if frequent == 1 else 16_384)
     words = {i: (t or "").encode().lower().split() for i, t in texts if i is not None}
     got = substrings.passages(docs).collect()
     spans = {}
