@@ -16,13 +16,16 @@ SLICE_ROWS = 256
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one is set only where none is, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). One is set only where none is and all run in one process, as in
+    tests; on a cluster the lack of one is an error, since no local folder would do."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and the executors share")
     own = tempfile.TemporaryDirectory(prefix="streamlens-")
     atexit.register(own.cleanup)
     spark.sparkContext.setCheckpointDir(f"file://{own.name}")

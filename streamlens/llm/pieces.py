@@ -53,7 +53,13 @@ class CharMap:
 
     def __init__(self, blob: bytes) -> None:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
-        self.units, self.pool = array("I", blob[4 : 4 + size]), blob[4 + size :]
+        self.units, self.pool = array("I", blob[4 : 4 + min(size, len(blob) - 4) // 4 * 4]), blob[4 + size :]
+        #: The bytes that a key can begin with.
+        self.first = np.array([bool(self.units) and self._child(b) for b in range(256)])
+
+    def _child(self, byte: int) -> bool:
+        node = ((self.units[0] >> 10) << ((self.units[0] & 512) >> 6)) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """(length, replacement) of the longest key that data has at `at`."""
@@ -63,13 +69,17 @@ class CharMap:
         node = (unit >> 10) << ((unit & 512) >> 6)
         for i in range(at, len(data)):
             node ^= data[i]
+            if node >= len(self.units):
+                break
             unit = self.units[node]
             if unit & 0x800000FF != data[i]:
                 break
             node ^= (unit >> 10) << ((unit & 512) >> 6)
+            if node >= len(self.units):
+                break
             if unit >> 8 & 1:
                 start = self.units[node] & 0x7FFFFFFF
-                found = i + 1 - at, self.pool[start : self.pool.index(0, start)]
+                found = i + 1 - at, self.pool[start:].split(b"\0", 1)[0]
         return found
 
 
@@ -83,48 +93,47 @@ class Normalizer:
         spec = dict(fields(next((v for k, v in fields(model) if k == 3), b"")))
         return cls(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
 
-    @property
-    def identity(self) -> bool:
-        return not self.map.units and not self.extra_spaces and self.dummy_prefix and self.space != b" "
-
-    def __call__(self, text: str) -> tuple[bytes, list[int]]:
+    def _mapped(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes after the character map, source byte of each): at each character the longest key there is replaced, else it stays."""
+        data = np.frombuffer(raw, np.uint8)
+        begins = (data & 0xC0) != 0x80
+        source = np.maximum.accumulate(np.where(begins, np.arange(len(data)), 0)) if len(data) else np.zeros(0, np.int64)
+        out, sources, done = [], [], 0
+        for i in np.flatnonzero(self.map.first[data] & begins).tolist():  # only here can a key begin
+            if i >= done and (hit := self.map.longest(raw, i)):
+                value = np.frombuffer(hit[1], np.uint8)
+                out += [data[done:i], value]
+                sources += [source[done:i], np.full(len(value), i)]
+                done = i + hit[0]
+        return (np.concatenate([*out, data[done:]]), np.concatenate([*sources, source[done:]])) if out else (data, source)
+
+    def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes and, for each of them and for their end, the source byte it stems from."""
-        data = text.encode()
-        out, source = bytearray(), []
-
-        def put(value: bytes, at: int) -> None:
-            out.extend(value)
-            source.extend([at] * len(value))
-
-        parts, i = [], 0
-        while i < len(data):
-            if hit := self.map.longest(data, i):
-                parts.append((hit[1], i))
-                i += hit[0]
-            else:
-                n = 1 if data[i] < 128 else 2 if data[i] < 224 else 3 if data[i] < 240 else 4
-                parts.append((data[i : i + n], i))
-                i += n
-        end = len(data)
+        raw = text.encode()
+        value, source = self._mapped(raw)
+        end, start = len(raw), 0
         if self.extra_spaces:
-            while parts and not parts[0][0].strip(b" "):
-                parts.pop(0)
-        if not parts:
-            return b"", [end]
-        after_space = self.extra_spaces
+            blank = value == 32
+            stays = ~blank | np.concatenate([[False], ~blank[:-1]])  # of a run of spaces the first, and none at the start
+            if not len(value) or blank.all():
+                return b"", np.array([end])
+            value, source = value[stays], source[stays]
+            start = int(source[0])
+        if not raw:
+            return b"", np.array([end])
         if self.dummy_prefix:
-            put(self.space, parts[0][1])
-        for value, at in parts:
-            if self.extra_spaces and after_space:
-                value = value.lstrip(b" ")
-            if value:
-                put(value.replace(b" ", self.space), at)
-                after_space = value.endswith(b" ")
+            value, source = np.concatenate([np.array([32], np.uint8), value]), np.concatenate([[start], source])
+        blank = value == 32
+        width = np.where(blank, len(self.space), 1)
+        at = np.cumsum(width) - width
+        out, source = np.repeat(value, width), np.repeat(source, width)
+        for k, byte in enumerate(self.space):
+            out[at[blank] + k] = byte
+        out = out.tobytes()
         while self.extra_spaces and out.endswith(self.space):
             cut = len(out) - len(self.space)
-            end = source[cut]
-            del out[cut:], source[cut:]
-        return bytes(out), [*source, end]
+            end, out, source = int(source[cut]), out[:cut], source[:cut]
+        return out, np.concatenate([source, [end]])
 
 
 class Encoder:
@@ -137,66 +146,30 @@ class Encoder:
         with open(path, "rb") as f:
             self.normalizer = Normalizer.of_model(f.read())
         pieces = [self.library.id_to_piece(i) for i in range(len(self.library))]
-        self.byte = [self.library.is_byte(i) for i in range(len(pieces))]
-        # Bytes of the normalised text that a piece stands for.
-        self.width = [1 if self.byte[i] else 0 if self.library.is_control(i) else len(p.encode()) for i, p in enumerate(pieces)]
-        self.widths = np.array([1 if self.byte[i] else 0 if self.library.is_control(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)], np.int64)
-        # How many bytes the character has that a byte piece begins, if it has more than one.
-        self.lead_bytes = np.array([(2 if v < 224 else 3 if v < 240 else 4) if self.byte[i] and (v := int(p[3:-1], 16)) >= 192 else 0 for i, p in enumerate(pieces)])
+        # Bytes of the normalised text that a piece stands for; an unknown one's are in what the library tells of the text.
+        self.width = np.array([1 if self.library.is_byte(i) else 0 if self.library.is_control(i) else len(p.encode()) for i, p in enumerate(pieces)], np.int64)
+
+    def span_ends(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """The ends, in source bytes, of the pieces' spans: each piece's normalised bytes are looked up in the record of their sources.
+        A span starts where the one before ends; of the bytes of one character the last covers it."""
+        norm, source = self.normalizer(text)
+        width = self.width[ids]
+        unknown = np.flatnonzero(ids == self.library.unk_id())
+        if len(unknown):
+            told = self.library.encode(text, return_type="proto").pieces  # without the begin id
+            width[unknown] = [len(told[k - 1].piece.encode()) for k in unknown.tolist()]
+        return source[np.minimum(np.cumsum(width), len(norm))]
 
     def encode(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids and the ends of their spans, for any model and text. A span starts where the one before ends."""
         ids = self.library.encode(text, add_bos=True, add_eos=True)
-        norm, source = self.normalizer(text)
-        ends, at = [], 0
-        for k, i in enumerate(ids):
-            if i == self.library.unk_id():  # an unknown piece covers what the pieces around it leave
-                at = self._unknown(norm, at, ids[k + 1 :])
-            else:
-                at += self.width[i]
-            ends.append(source[min(at, len(norm))])
-        # Bytes of one character end where the character does, at its last byte.
-        starts = {b: e for b, e in self._characters(text)}
-        for k in range(len(ends)):
-            if self.byte[ids[k]] and ends[k] and ends[k] not in starts:
-                ends[k] = ends[k - 1] if k else 0
-        return ids, ends
-
-    @staticmethod
-    def _characters(text: str):
-        at = 0
-        yield 0, 0
-        for c in text:
-            at += len(c.encode())
-            yield at, at
-
-    def _unknown(self, norm: bytes, at: int, rest: list[int]) -> int:
-        known = [i for i in rest if i != self.library.unk_id() and self.width[i]]
-        if not known or len(known) < len([i for i in rest if self.width[i] or i == self.library.unk_id()]):
-            surface = next((p for p in (self.library.id_to_piece(i).encode() for i in known)), b"")
-            found = norm.find(surface, at + 1) if surface else len(norm)
-            return found if found > 0 else len(norm)
-        return len(norm) - sum(self.width[i] for i in known)
-
-    def _ends(self, ids: np.ndarray) -> np.ndarray:
-        """Span ends of ids (begin and end ids among them) of a text that normalisation only prefixes and escapes."""
-        widths = self.widths[ids]
-        widths[1] -= 1  # no space stands before the first word
-        if (at := np.flatnonzero(self.lead_bytes[ids])).size:
-            n = self.lead_bytes[ids[at]]
-            for k in (0, 1, 2):
-                widths[at[n > k + 1] + k] = 0
-            widths[at + n - 1] = n
-        return np.cumsum(widths)
+        return ids, self.span_ends(text, np.array(ids)).tolist()
 
     def packed(self, texts: list[str]) -> list[tuple[bytes, bytes, str]]:
         """Of each text the ids and the span ends as little-endian unsigned 32-bit integers, and decode(ids)."""
         out, all_ids = [], self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
         for text, ids, decoded in zip(texts, all_ids, self.library.decode(all_ids, num_threads=1), strict=True):
             raw = np.array(ids, "<u4")
-            plain = text and self.normalizer.identity and SPACE not in text and "\0" not in text and not (raw == self.library.unk_id()).any()
-            ends = self._ends(raw) if plain else np.array(self.encode(text)[1])
-            out.append((raw.tobytes(), ends.astype("<u4").tobytes(), decoded))
+            out.append((raw.tobytes(), self.span_ends(text, raw).astype("<u4").tobytes(), decoded))
         return out
 
 

@@ -111,14 +111,16 @@ def fit(x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS) -> Voters:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int = SAMPLE) -> DataFrame:
     """(doc_id, text, y) of at most `most` rows for each of the labels 0 and 1, by hash of the id, among ids for which keep holds.
 
-    Rows with null ids or labels teach nothing; of several labels of an id the largest counts."""
+    Rows with null ids or labels teach nothing; of several labels of an id the largest counts, and of several texts of an id the one with
+    the least hash: an id is one row, however often it is repeated."""
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & keep)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    return id_text(docs).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())  # at most 2 * most rows are broadcast
+    found = id_text(docs).join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())  # at most 2 * most rows are broadcast
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Voters:
@@ -131,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Voters:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(rows, at, strict=True)], pa.binary())], ["doc_id", "y", "at", "value"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    found = map_slices(sample.select("doc_id", "text", "y"), sparse, f"doc_id {kind}, y int, at binary, value binary").toPandas().sort_values(["doc_id", "at"], kind="stable").head(2 * most)
+    found = map_slices(sample.select("doc_id", "text", "y"), sparse, f"doc_id {kind}, y int, at binary, value binary").toPandas().sort_values("doc_id")  # an id once: 2 * most rows at most
     x = np.zeros((len(found), TERMS), np.float32)
     for k, (at, value) in enumerate(zip(found["at"], found["value"], strict=True)):
         x[k, np.frombuffer(at, "<u2")] = np.frombuffer(value, np.float32)
@@ -151,7 +153,10 @@ def score(docs: DataFrame, voters: Voters, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, columns unchanged, whose score is at least threshold. Texts are scored where they lie: no join, no shuffle."""
+    """The rows of docs, columns unchanged, whose score is at least threshold. Texts are scored where they lie: no join, no shuffle.
+
+    A null text scores as an empty one; a null id and repeated rows are rows like any other; a score of just threshold stays; an empty
+    table gives none; without labels every score is 0.5."""
     held = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     names = docs.columns
 

@@ -1,11 +1,15 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Two fingerprints within k bits differ by at most k in their distance to any reference. The references are a base r, r with one
-bit flipped (one for each bit), and PIVOTS random ones. The differences between the distances to r and to r with bit i flipped
-spell the bits of x xor r, so the first 65 coordinates are indexed in BLOCKS groups: k = 2 differing bits leave at least
-BLOCKS - 2 groups of coordinates equal, and equality on such a choice of groups gives the candidates (no pair is lost). The
-random references' distances, packed into one integer per fingerprint, then discard candidates whose largest coordinate
-difference exceeds k, and the survivors are verified bit by bit.
+bit flipped (one for each bit), and PIVOTS random ones; every fingerprint's distances to all of them are computed once, as its row of
+the table. Candidates come from the table: two rows within k differ from each other, relative to the base's column, in the columns of
+at most k flipped references, so of BLOCKS groups of these columns at least BLOCKS - k are equal, and equality on such a choice of
+groups is the join (no pair is lost). A candidate is discarded if any of the base's and random columns differs by more than k, and the
+survivors are verified bit by bit.
+
+A choice that more than BUCKET fingerprints share is a full one: its members meet at points instead of pair by pair. Within two bits
+means that some fingerprint is within one bit of both, so each member is dealt to the 65 points around it, and at every point all are
+linked to one. The links' components are the same whatever BUCKET is; it bounds the pairs of a choice.
 """
 
 from __future__ import annotations
@@ -51,15 +55,16 @@ def fingerprint(words: list[bytes], width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Words are runs of bytes other than ASCII white space, A-Z lower-cased."""
-    rows = id_text(docs, id_col, text_col)
+    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text (null: of none). Words are runs of bytes other
+    than ASCII white space, A-Z lower-cased."""
+    rows = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         # bytes.lower and bytes.split know ASCII only: A-Z, and 0x20 and 0x09 to 0x0D.
         got = [signed(fingerprint((t or "").encode().lower().split(), width)) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.int64())], ["doc_id", "mark", "fp"])
 
-    return map_slices(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_slices(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, fp long")
 
 
 def distance(a: Column, b: Column | int) -> Column:
@@ -67,16 +72,25 @@ def distance(a: Column, b: Column | int) -> Column:
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """fps (fp) with the distances to the random references, one byte each, in one long."""
+    """fps (fp) with their rows of the table: `flipped`, the distances to the base with each bit flipped, and `pivots`, those to the base
+    and to the random references, seven bits each in one long."""
     packed = F.lit(0).cast("long")
-    for k, ref in enumerate(REFERENCES):
+    for k, ref in enumerate((BASE, *REFERENCES)):
         packed = packed.bitwiseOR(F.shiftleft(distance(F.col("fp"), ref).cast("long"), 7 * k))
-    return fps.withColumn("pivots", packed)
+    references = F.array(*(F.lit(signed(BASE ^ (1 << k))) for k in range(BITS)))
+    return fps.withColumns({"pivots": packed, "flipped": F.transform(references, lambda ref: distance(F.col("fp"), ref))})
+
+
+def coordinates(pivots: Column, flipped: Column) -> Column:
+    """The flipped references' columns relative to the base's, one bit each: whether the distance to that reference is the lesser."""
+    base = pivots.bitwiseAND(F.lit(127)).cast("int")
+    bits = F.transform(flipped, lambda d, k: F.when(d < base, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def _coordinate_gap(a: str, b: str) -> Column:
     part = lambda c, k: F.shiftrightunsigned(F.col(c), 7 * k).bitwiseAND(F.lit(127))
-    return F.greatest(*(F.abs(part(a, k) - part(b, k)) for k in range(PIVOTS)))
+    return F.greatest(*(F.abs(part(a, k) - part(b, k)) for k in range(PIVOTS + 1)))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -84,9 +98,9 @@ def links(fps: DataFrame) -> DataFrame:
     keys = []
     for n, kept in enumerate(combinations(range(BLOCKS), BLOCKS - NEAR)):
         mask = sum((1 << EDGES_OF_BLOCKS[b + 1]) - (1 << EDGES_OF_BLOCKS[b]) for b in kept)
-        coordinates = F.col("fp").bitwiseXOR(F.lit(signed(BASE))).bitwiseAND(F.lit(signed(mask)))
-        keys.append(F.struct(F.lit(n).alias("choice"), coordinates.alias("key")))
-    rows = pivot_table(fps).select("fp", "pivots", F.explode(F.array(*keys)).alias("k")).select("fp", "pivots", "k.choice", "k.key")
+        keys.append(F.struct(F.lit(n).alias("choice"), F.col("at").bitwiseAND(F.lit(signed(mask))).alias("key")))
+    table = shared_table(pivot_table(fps).select("fp", "pivots", coordinates(F.col("pivots"), F.col("flipped")).alias("at")), "pivot-table")
+    rows = table.select("fp", "pivots", F.explode(F.array(*keys)).alias("k")).select("fp", "pivots", "k.choice", "k.key")
     buckets = shared_table(rows.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     shared = shared_table(rows.join(buckets, ["choice", "key"]), "candidates")
 
@@ -103,30 +117,40 @@ def links(fps: DataFrame) -> DataFrame:
     return near.union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the least doc_id among documents reachable by links of at most NEAR bits.
-
-    Copies share a fingerprint and are linked once, by it. A null or empty text has fingerprint zero and is linked like any
-    other; a null doc_id is never a component's name unless all its ids are null; repeated rows are kept; an empty table gives
-    none; other columns are ignored."""
+def _named(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, fp, component, component_id) of every row; component is a fingerprint of the group."""
     own = shared_table(fingerprints(docs, width, id_col, text_col), "fingerprints")
     classes = shared_table(own.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     found = shared_table(connected(links(classes.select("fp"))), "components")
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     named = shared_table(named, "named")
     least = shared_table(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least-ids")
-    class_ids = shared_table(named.join(least, "component").select("fp", "component_id"), "class-ids")
-    return own.join(class_ids, "fp").select("doc_id", "fp", "component_id")
+    class_ids = shared_table(named.join(least, "component").select("fp", "component", "component_id"), "class-ids")
+    return own.join(class_ids, "fp").select("doc_id", "mark", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the least doc_id among documents reachable by links of at most NEAR bits.
+
+    Copies share a fingerprint and are linked once, by it. A null or empty text has fingerprint zero and is linked like any
+    other; a null doc_id is never a component's name unless all its ids are null; repeated rows are kept; an empty table gives
+    none; other columns are ignored."""
+    return _named(docs, width, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs, columns unchanged, with one row of each group of near-duplicates: the one with the least doc_id, and one row of that id.
+    """docs, columns unchanged, with one row of each group of near-duplicates: the one with the least doc_id and, of several texts of
+    that id in the group, the one whose text has the least hash; of repeated rows, one.
 
-    Rows without an id stay: nothing names their group. Only ids are joined back, on the id's own exchange."""
+    Texts of one id that are no near-duplicates are groups of their own, so each stays. Rows without an id stay: nothing names their
+    group. An empty table gives none. Texts travel once, on the exchange by id and hash of the text; no name of a column can clash."""
     from pyspark.sql import Window as W
 
-    found = near_duplicates(docs, width)
-    kept = shared_table(found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"]).withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("_kept"))).filter("_n = 1")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return named.select(*columns).union(docs.filter(F.col("doc_id").isNull()))
+    found = _named(docs, width, "doc_id", "text").filter(F.col("doc_id") == F.col("component_id"))
+    kept = shared_table(found.groupBy("component").agg(F.first("doc_id").alias("id"), F.min("mark").alias("of")).select("id", "of"), "kept")
+    # The input's columns travel as one, so that none of their names can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    named = rows.filter("own is not null").join(kept, (F.col("own") == F.col("id")) & F.col("mark").eqNullSafe(F.col("of")))
+    order = [F.to_json(c) if "map<" in f.dataType.simpleString() else c for f in docs.schema.fields if f.name != "text" for c in [F.col(f"row.`{f.name}`")]]
+    named = named.withColumn("k", F.row_number().over(W.partitionBy("id", "of").orderBy(*order))).filter("k = 1")
+    return named.select("row.*").union(rows.filter("own is null").select("row.*"))

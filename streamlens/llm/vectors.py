@@ -22,7 +22,7 @@ from .components import connected
 COSINE = 0.95
 BLOCKS = 4
 #: Most vectors of a cell that one task compares with as many others; larger cells are dealt out as pairs of such chunks.
-CHUNK = 4096
+CHUNK = 16_384
 #: Rows of a distance matrix, and candidate pairs, at a time.
 _ROWS, _PAIRS = 512, 100_000
 #: The grid's half neighbourhood: each two neighbouring cells meet once.
@@ -54,37 +54,42 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def cells(rows: DataFrame, d: int, cosine: float = COSINE) -> DataFrame:
-    """rows (node, m, embedding of d dimensions) once for each block and grid cell: home, or guest in a cell that the ball touches."""
-    bounds, radii = spans(d), [float(np.sqrt(r)) for r in budgets(d, cosine)]
+def cells(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """rows (node, m, embedding) once for each block and grid cell of its length's grid: home, or guest in a cell that the ball touches."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                turned = units(_matrix(batch.column("embedding"))) @ rotation(d)
-                for k, ((a, b), r) in enumerate(zip(bounds, radii, strict=True)):
-                    x = turned[:, a : min(b, a + 2)]
-                    if x.shape[1] == 1:
-                        x = np.hstack([x, np.zeros_like(x)])
-                    cell = np.floor(x / r).astype(np.int64)
-                    within = x - cell * r
-                    for home, (dx, dy) in ((True, (0, 0)), *((False, s) for s in _STEPS)):
-                        gap = [np.zeros(len(x)) if s == 0 else (r - w if s > 0 else w) for s, w in ((dx, within[:, 0]), (dy, within[:, 1]))]
-                        pick = np.flatnonzero(gap[0] ** 2 + gap[1] ** 2 <= r * r * (1 + 1e-9))
-                        n = len(pick)
-                        part = batch.take(pa.array(pick))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, k, np.int32)), pa.array(cell[pick, 0] + dx), pa.array(cell[pick, 1] + dy), pa.array(np.full(n, home)), part.column("node"), part.column("m"), part.column("embedding")],
-                            ["block", "cx", "cy", "home", "node", "m", "embedding"],
-                        )
-
-    return rows.mapInArrow(run, "block int, cx long, cy long, home boolean, node long, m long, embedding array<float>")
-
-
-def _compare(table: pa.Table, d: int, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+                piece = whole.slice(at, 1024)
+                lengths = np.array([len(x) for x in piece.column("embedding")])
+                for d in np.unique(lengths).tolist():
+                    yield from placed(piece.take(pa.array(np.flatnonzero(lengths == d))), d)
+
+    def placed(batch: pa.RecordBatch, d: int):
+        turned = units(_matrix(batch.column("embedding"))) @ rotation(d)
+        for k, ((a, b), r) in enumerate(zip(spans(d), [float(np.sqrt(r)) for r in budgets(d, cosine)], strict=True)):
+            x = turned[:, a : min(b, a + 2)]
+            if x.shape[1] == 1:
+                x = np.hstack([x, np.zeros_like(x)])
+            cell = np.floor(x / r).astype(np.int64)
+            within = x - cell * r
+            for home, (dx, dy) in ((True, (0, 0)), *((False, s) for s in _STEPS)):
+                gap = [np.zeros(len(x)) if s == 0 else (r - w if s > 0 else w) for s, w in ((dx, within[:, 0]), (dy, within[:, 1]))]
+                pick = np.flatnonzero(gap[0] ** 2 + gap[1] ** 2 <= r * r * (1 + 1e-9))
+                n = len(pick)
+                part = batch.take(pa.array(pick))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(cell[pick, 0] + dx), pa.array(cell[pick, 1] + dy), pa.array(np.full(n, home)), part.column("node"), part.column("m"), part.column("embedding")],
+                    ["d", "block", "cx", "cy", "home", "node", "m", "embedding"],
+                )
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.select("node", "m", "embedding").mapInArrow(run, f"d int, block int, cx long, cy long, home boolean, node long, m long, embedding {kind}")
+
+
+def _compare(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Nodes, the copies linked to each, and spanning edges, of one pair of chunks: left x right, and left x left if the chunks are one."""
-    block, same = table.column("block")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    d, block, same = table.column("d")[0].as_py(), table.column("block")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
     node, m = table.column("node").to_numpy(), table.column("m").to_numpy()
     left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
     x = units(_matrix(table.column("embedding").combine_chunks()))
@@ -131,10 +136,10 @@ def _compare(table: pa.Table, d: int, cosine: float) -> tuple[np.ndarray, np.nda
     return node, count, [(int(node[k]), int(node[t])) for k, t in enumerate(top) if k != t]
 
 
-def links(rows: DataFrame, d: int, cosine: float = COSINE) -> DataFrame:
+def links(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(node, n_links, a, b) parts: rows with n_links to be summed by node, and rows with a spanning edge a - b."""
-    placed = cells(rows, d, cosine)
-    key = ["block", "cx", "cy"]
+    placed = cells(rows, cosine)
+    key = ["d", "block", "cx", "cy"]
     full = placed.groupBy(*key).agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
     full = shared_table(full.select(*key, F.ceil(F.greatest("h", "g") / CHUNK).cast("int").alias("k")).filter("k > 1"), "full-cells")
     dealt = placed.join(full, key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("at", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -144,7 +149,7 @@ def links(rows: DataFrame, d: int, cosine: float = COSINE) -> DataFrame:
     dealt = dealt.select(*key, "node", "m", "embedding", F.explode(tasks).alias("t")).select(*key, "t.*", "node", "m", "embedding")
 
     def run(table: pa.Table) -> pa.Table:
-        node, count, edges = _compare(table, d, cosine)
+        node, count, edges = _compare(table, cosine)
         linked = np.flatnonzero(count)
         none = pa.nulls(len(linked), pa.int64())
         first = pa.table([pa.array(node[linked]), pa.array(count[linked]), none, none], ["node", "n_links", "a", "b"])
@@ -157,20 +162,20 @@ def links(rows: DataFrame, d: int, cosine: float = COSINE) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors that are null, zero, or hold null or non-finite components, and vectors whose length is not the table's commonest, link
-    with nothing. Equal vectors are compared once, as a class with a count. A null id links and counts but names no component unless
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; others link with those of their
+    length. Cosines are of the components as given, floats or doubles, in double precision. Equal vectors are compared once, as a class with a count. A null id links and counts but names no component unless
     all its ids are null; repeated rows are rows of their own; an empty table gives none; other columns are ignored."""
-    v = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>").alias("embedding"))
+    from pyspark.sql.types import ArrayType, FloatType
+
+    given = vectors.schema[vector_col].dataType
+    kind = "array<float>" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "array<double>"
+    v = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast(kind).alias("embedding"))
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("embedding", lambda c: c != 0)
-    sizes = v.filter(usable).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = sizes["d"] if sizes else 0
-    v = v.withColumn("usable", F.coalesce(usable, F.lit(False)) & (F.size("embedding") == d)).withColumn("h", F.when(F.col("usable"), F.xxhash64("embedding")))
+    v = v.withColumn("usable", F.coalesce(usable, F.lit(False))).withColumn("h", F.when(F.col("usable"), F.xxhash64("embedding")))
     alone = v.filter(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not d:
-        return alone
     classes = v.filter("usable").groupBy("h", "embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("least"))
     classes = shared_table(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    parts = shared_table(links(classes.select("node", "m", "embedding"), d, cosine), "vector-links")
+    parts = shared_table(links(classes, cosine), "vector-links")
     counts = parts.filter("node is not null").groupBy("node").agg(F.sum("n_links").alias("n"))
     found = shared_table(connected(parts.filter("a is not null").select("a", "b")), "vector-components")
     named = classes.select("node", "h", "embedding", "m", "least").join(found, "node", "left").join(counts, "node", "left")

@@ -396,9 +396,29 @@ def test_language_model_is_a_distribution(spark):
     probes.append((next(i for i in range(200_000, 201_000) if zlib.crc32(str(i).encode()) % 10 == 0), "never-seen"))
     df = spark.createDataFrame(train + probes, "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in language_model.score(df, alphabet=12, contexts=5, lookup=20).collect()}
-    # The end follows each word; without it the first words' probabilities and the end's own sum to 1.
-    parts = {r["doc_id"]: r for r in language_model.score(spark.createDataFrame(train + [(i, f"{t} {t}") for i, t in probes if t], "doc_id long, text string"), alphabet=12, contexts=5, lookup=20).collect()}
-    assert all(parts[i]["n_tokens"] == 3 for i, t in probes if t) and all(s < 0 for s in got.values())
+    # Brute force: contexts counted here, seated by the operator's own restaurants, scored token by token.
+    tokens = {i: language_model.words_of(t) for i, t in train + probes}
+    c = Counter(w for i, _ in train for w in tokens[i])
+    rank = sorted(c, key=lambda w: (-c[w], language_model.word_hash(w)))
+    steps = lambda n: math.floor(8 * math.log2(n))
+    top = [w for w in rank if steps(c[w]) > steps(c[rank[20]])] if len(rank) > 20 else rank
+    used = min(12, len(top))
+    dish = {w: k for k, w in enumerate(top[:used])}
+    place = {w: k for k, w in enumerate(top) if k < 4}
+    table = np.zeros((5, used + 1), np.int64)
+    for i, _ in train:
+        for u, w in zip([language_model.END, *tokens[i]], tokens[i], strict=False):
+            table[place.get(u, 4), dish.get(w, used)] += 1
+    chance = np.log10(language_model.fit_contexts(table))
+    rare = [w for w in c if w not in dish]
+    rest = language_model.fit_rest(spark.createDataFrame([(language_model.word_hash(w), c[w]) for w in rare], "h long, c long"))
+    inner = lambda w: math.log10(rest.probability(np.array([c[w]]), np.array([language_model.word_hash(w) if w in c else 0]))[0])
+    one = lambda u, w: chance[place.get(u, 4), dish.get(w, used)] + (0 if w in dish else inner(w))
+    for i, ws in tokens.items():
+        assert abs(got[i] - sum(one(u, w) for u, w in zip([language_model.END, *ws], ws, strict=False))) < 1e-3
+    # Over the whole vocabulary and the unknown word the probabilities of what follows any word sum to 1.
+    for u in [language_model.END, *rank[:6], rank[-1]]:
+        assert abs(sum(10 ** one(u, w) for w in [*c, b"never-seen"]) - 1) < 1e-6
     counts = np.array([[5, 0, 2, 9], [0, 0, 0, 0], [100, 1, 1, 0]])
     assert np.allclose(language_model.fit_contexts(counts).sum(1), 1)
     c, h = np.array([3, 1, 1, 1, 2, 40]), np.arange(6, dtype=np.int64) * 7919
@@ -409,10 +429,22 @@ def test_language_model_is_a_distribution(spark):
 
 def test_seating():
     c = np.array([0, 1, 2, 50, 10_000, 10**9])
-    t = language_model.seat(c, np.full(6, 0.5), 0.6, np.arange(6), 1)
+    t = language_model.seat(c, np.full(6, 0.5), 0.6, np.zeros(6, np.int64), 1)  # one key: the larger ones carry on where the smaller stop
     assert (t <= c).all() and t[0] == 0 and t[1] == 1 and (np.diff(t[2:]) >= 0).all()
     many = language_model.seat(np.full(20_000, 2), np.full(20_000, 0.4), 0.6, np.arange(20_000), 3)
     assert abs((many - 1).mean() - 0.4 / (0.4 + 1 - 0.6)) < 0.02
+    # Against customers seated one by one, in the mean and the spread of tables.
+    rng = np.random.default_rng(2)
+    for c, new, d in ((200, 3.0, 0.7), (2000, 0.8, 0.5)):
+        t = np.ones(2000)
+        for k in range(1, c):
+            t += rng.random(2000) < new / (new + k - d * t)
+        got = language_model.seat(np.full(2000, c), np.full(2000, new), d, np.arange(2000), 5)
+        assert abs(got.mean() - t.mean()) < 0.05 * t.mean() + 0.1 and abs(got.std() - t.std()) < 0.1 * t.std() + 0.1
+    u = (np.arange(4000) + 0.5) / 4000
+    for n, p in ((7, 0.3), (40, 0.9), (5000, 0.001), (5000, 0.4)):
+        drawn = language_model.binomial(np.full(4000, n), np.full(4000, p), u)
+        assert (np.diff(drawn) >= 0).all() and abs(drawn.mean() - n * p) < 0.02 * n * p + 0.02 and abs(drawn.var() - n * p * (1 - p)) < 0.05 * n * p * (1 - p) + 0.05
 
 
 def test_sentencepiece(docs, empty, texts):
@@ -435,7 +467,7 @@ def test_sentencepiece(docs, empty, texts):
         raw = (t or "").encode()
         assert ends[-1] == len(raw) and ends == sorted(ends)
         for i, a, b in zip(ids, [0, *ends], ends, strict=False):
-            if not e.byte[i] and not sp.is_control(i) and i != sp.unk_id() and "▁" not in (t or ""):
+            if not sp.is_byte(i) and not sp.is_control(i) and i != sp.unk_id() and "▁" not in (t or ""):
                 assert sp.id_to_piece(i).replace("▁", " ").strip(" ") == raw[a:b].decode().strip(" ")
 
 
@@ -447,13 +479,14 @@ def double_array(keys):
         for b in k:
             node = node.setdefault(b, {})
         node[None] = value
-    units, used = {0: 0}, {0}
+    units, used, bases = {0: 0}, {0}, set()
 
     def place(at, node):
         labels = [0 if b is None else b for b in node]
         base = 1
-        while any((base ^ b) in used for b in labels) or base == at or (at ^ base) >= 1 << 21:
+        while base in bases or any((base ^ b) in used for b in labels) or base == at or (at ^ base) >= 1 << 21:
             base += 1
+        bases.add(base)
         used.update(base ^ b for b in labels)
         units[at] = units.get(at, 0) | (at ^ base) << 10 | (None in node) << 8
         for b, child in node.items():
@@ -466,7 +499,7 @@ def double_array(keys):
                 place(base ^ b, child)
 
     place(0, tree)
-    return [units.get(k, 0x7FFFFFFF & 0xFF) for k in range(max(units) + 1)]
+    return [units.get(k, 0x7FFFFFFF & 0xFF) for k in range((max(units) | 255) + 1)]
 
 
 def test_character_map():
@@ -483,7 +516,7 @@ def test_character_map():
     raw = "aﬁéxéK​①z".encode()
     assert source[0] == 0 and source[1] == source[2] == 1 and source[3] == source[4] == 4 and source[-1] == len(raw) and source[-2] == len(raw) - 1
     trimmed, source = pieces.Normalizer(blob, extra_spaces=True)("  a   b ")
-    assert trimmed.decode() == "▁a▁b" and source[-1] == 7 and source[3] == 2
+    assert trimmed.decode() == "▁a▁b" and source[-1] == len("  a \u00a0 b".encode()) and source[3] == 2
     assert pieces.Normalizer(blob, extra_spaces=True)("   ")[0] == b"" and pieces.Normalizer()("a b")[0].decode() == "▁a▁b"
 
 
