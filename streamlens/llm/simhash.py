@@ -55,7 +55,7 @@ def fingerprint(words: list[bytes], width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text (null: of none). Words are runs of bytes other
+    """(doc_id, mark, fp): fp is the fingerprint as a signed long, mark a hash of the text, never null. Words are runs of bytes other
     than ASCII white space, A-Z lower-cased."""
     rows = id_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
@@ -150,7 +150,7 @@ def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
     kept = shared_table(found.groupBy("component").agg(F.first("doc_id").alias("id"), F.min("mark").alias("of")).select("id", "of"), "kept")
     # The input's columns travel as one, so that none of their names can clash.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("own"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
-    named = rows.filter("own is not null").join(kept, (F.col("own") == F.col("id")) & F.col("mark").eqNullSafe(F.col("of")))
+    named = rows.filter("own is not null").join(kept, (F.col("own") == F.col("id")) & (F.col("mark") == F.col("of")))
     order = [F.to_json(c) if "map<" in f.dataType.simpleString() else c for f in docs.schema.fields if f.name != "text" for c in [F.col(f"row.`{f.name}`")]]
-    named = named.withColumn("k", F.row_number().over(W.partitionBy("id", "of").orderBy(*order))).filter("k = 1")
+    named = named.withColumn("k", F.row_number().over(W.partitionBy("own", "mark").orderBy(*order))).filter("k = 1")
     return named.select("row.*").union(rows.filter("own is null").select("row.*"))

@@ -24,7 +24,7 @@ BLOCKS = 4
 #: Most vectors of a cell that one task compares with as many others; larger cells are dealt out as pairs of such chunks.
 CHUNK = 16_384
 #: Rows of a distance matrix, and candidate pairs, at a time.
-_ROWS, _PAIRS = 512, 100_000
+_ROWS, _PAIRS = 128, 100_000
 #: The grid's half neighbourhood: each two neighbouring cells meet once.
 _STEPS = ((1, 0), (-1, 1), (0, 1), (1, 1))
 
