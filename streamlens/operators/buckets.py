@@ -77,7 +77,7 @@ class BucketedQuery:
     def _compute(self, buckets: DataFrame, start: int, end: int) -> DataFrame:
         """Events of the given buckets among [start, end): one run of the query over the whole span, cut to the buckets."""
         events = self.query(start, end, *self.args).withColumn(BUCKET, bucket_of(quoted(TIME), self.width))
-        return events.filter((quoted(TIME) >= start) & (quoted(TIME) < end)).join(F.broadcast(buckets), BUCKET, "left_semi")
+        return events.filter((quoted(TIME) >= start) & (quoted(TIME) < end)).join(buckets, BUCKET, "left_semi")
 
     def compute_and_store(self, start: int, end: int, untrusted: int, force: bool = False) -> int:
         """Compute and store the final buckets of [start, end) that are not stored, or all with force. How many."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -90,23 +91,11 @@ def ids(tree: Plan) -> Project:
 _A, _B = JAN1 + 3 * DAY, JAN1 + 9 * DAY
 plan("scan_range", Project(stream(_A, _B), (P(TIME, alias="t"), P("event_id"), P("value"))), f"select t, event_id, value from $E where t between {_A} and {_B}")
 plan("scan_empty_range", ids(stream(_B, _A)), "select event_id from events where false")
-
-
-def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = (quoted(TIME) > _A) | ((quoted(TIME) == _A) & (quoted(ID) > "100"))
-    return engine(spark, sf_dir).run(stream(_A, _B)).filter(at).select(quoted(TIME).alias("t"), "event_id")
-
-
-add("scan_resume", _resume, f"select t, event_id from $E where t between {_A} and {_B} and (t > {_A} or (t = {_A} and event_id::varchar > '100'))")
 plan("scan_desc_limit", Limit(OrderBy(Project(stream(), (P(TIME, alias="t"), P("event_id"))), (P("t"), P("event_id")), reverse=True), 100), "select t, event_id from $E order by t desc, event_id desc limit 100")
 plan("limit_scan_order", Limit(Project(stream(), (P(TIME), P(ID), P("event_id"))), 25), """select t as "@time", event_id::varchar as "@id", event_id from $E order by t, event_id::varchar limit 25""")
-add("list_streams", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stream")).distinct(), "select distinct event_type as stream from events")
-add("latest_properties", lambda spark, sf_dir: tools.gauge(engine(spark, sf_dir).run(stream()), "props"), "select arg_max(props, (ts, event_id::varchar)) as value from events")
 
 def _catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     """The events, put into a new catalog."""
-    import uuid
-
     catalog = Catalog(spark, f"{_shared(spark)}/catalog-{uuid.uuid4().hex}")
     catalog.put("events", engine(spark, sf_dir).run(Project(stream(), (P(TIME), P("event_id"), P("value")))))
     return catalog
@@ -123,8 +112,6 @@ def _catalog_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{_shared(spark)}/csv-{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("string").alias("at")).write.csv(path, header=True)
     return csv_events(spark, path, "at").select(F.col("o_orderkey").cast("long").alias("o"), quoted(TIME).alias("t"))
@@ -132,6 +119,42 @@ def _csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("catalog_retrieve", _catalog_retrieve, f"select t, event_id, value from $E where t between {_A} and {_B} order by t desc limit 500")
 add("catalog_delete", _catalog_delete, f"select event_id from $E where t not between {_A} and {_B}")
+
+
+def _token(catalog: Catalog, name: str, nth: int) -> tuple[int, str]:
+    """Time and id of the nth event from _A on: where a reader that has seen it goes on."""
+    last = catalog.retrieve(name, _A, _B, limit=nth).orderBy(quoted(TIME).desc(), quoted("@id").desc()).first()
+    return last[TIME], last["@id"]
+
+
+def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _catalog(spark, sf_dir)
+    time, last = _token(catalog, "events", 100)
+    return catalog.retrieve("events", time, _B, start_id=last).select(quoted(TIME).alias("t"))
+
+
+def _delete_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _catalog(spark, sf_dir)
+    time, last = _token(catalog, "events", 100)
+    catalog.delete("events", time, _B, start_id=last)
+    return catalog.retrieve("events", _A, _B).select(quoted(TIME).alias("t"))
+
+
+def _kinds_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A stream for each kind of event; those of clicks hold one more property from the second put on."""
+    catalog, events = Catalog(spark, f"{_shared(spark)}/catalog-{uuid.uuid4().hex}"), engine(spark, sf_dir).run(stream())
+    for kind in ("click", "error", "purchase", "signup", "view"):
+        some = events.filter(F.col("event_type") == kind)
+        catalog.put(kind, some.select(quoted(TIME), "event_id", "value"))
+        if kind == "click":
+            catalog.put(kind, some.select(quoted(TIME), "event_id", "k"))
+    return catalog
+
+
+add("scan_resume", _resume, f"select t from $E where t between {_A} and {_B} order by t, event_id::varchar offset 100")
+add("catalog_delete_after", _delete_after, f"select t from $E where t between {_A} and {_B} order by t, event_id::varchar limit 100")
+add("list_streams", lambda spark, sf_dir: spark.createDataFrame([(n,) for n in _kinds_catalog(spark, sf_dir).streams()], "stream string"), "select distinct event_type as stream from events")
+add("latest_properties", lambda spark, sf_dir: spark.createDataFrame([(n,) for n in _kinds_catalog(spark, sf_dir).properties("click")], "property string"), "select unnest(['event_id', 'value', 'k']) as property")
 add("csv_load", _csv_load, "select o_orderkey as o, epoch_us(o_orderdate) * 10 as t from orders")
 add("synthetic", lambda spark, sf_dir: synthetic_events(spark, 1000, JAN1, 250, 2).withColumnRenamed(TIME, "t"), f"select {JAN1} + i * 2500 as t, 0::bigint as property0, 1::bigint as property1 from range(1000) r(i)")
 
@@ -292,17 +315,21 @@ add("bucket_count", lambda spark, sf_dir: buckets.bucket_counts(engine(spark, sf
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run in one process, as in tests."""
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streamlens-")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
+    if not at and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir is to name a folder that the driver and the executors share")
+    return at.rstrip("/") if at else tempfile.mkdtemp(prefix="streamlens-")
 
 
 def _cached(trusted_only: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shared = _shared(spark)
         made = lambda start, end: engine(spark, sf_dir).run(Aggregate(Filter(stream(start, end - 1), Condition("eq", P("event_type"), C("purchase"))), (fn("floor", P(TIME), C(DAY), alias=TIME),), (Aggregator("sum", (P("k"),), "total"),)))
-        query = buckets.BucketedQuery(spark, f"{shared}/buckets", f"purchases-{sf_dir}", timedelta(days=1), made)
+        query = buckets.BucketedQuery(spark, f"{shared}/buckets-{uuid.uuid4().hex}", "purchases", timedelta(days=1), made)
         query.compute_and_store(JAN1 + 5 * DAY, JAN1 + 10 * DAY, JAN1 + 30 * DAY)
         query.compute_and_store(JAN1, JAN1 + 30 * DAY, JAN1 + 20 * DAY)
         return query.retrieve(JAN1, JAN1 + 30 * DAY, compute_missing=not trusted_only).select(quoted(TIME).alias("t"), "total")
@@ -345,18 +372,22 @@ add("shape_gauge", lambda spark, sf_dir: tools.gauge(engine(spark, sf_dir).run(s
 add("shape_table_page", lambda spark, sf_dir: tools.page(engine(spark, sf_dir).run(Project(stream(), (P("value"), P("event_id")))), "value", 3, 20, descending=True), "select value, event_id from events order by value desc, event_id limit 20 offset 40")
 
 
-def _stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+def _windowed(mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .streaming import windows
 
-    from .streaming import windows
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        events = windows.read_events(spark, f"{sf_dir}/events*.parquet", schema)
+        out = windows.run_available(windows.bucket_stream(events, "ts", "1 hour", "30 minutes"), f"{_shared(spark)}/stream-{uuid.uuid4().hex}", mode)
+        return out.select(F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n")
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = windows.read_events(spark, f"{sf_dir}/events*.parquet", schema)
-    out = windows.run_available(windows.bucket_stream(events, "ts", "1 hour", "30 minutes"), f"w{uuid.uuid4().hex}", mode="complete")
-    return out.select(F.date_format("bucket_start", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n")
+    return run
 
 
-add("stream_window", _stream_window, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as bucket, count(*) as n from events group by 1")
+_HOURS = "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as bucket, count(*) as n from events"
+add("stream_window", _windowed("complete"), f"{_HOURS} group by 1")
+# Only windows that the watermark, half an hour behind the latest event, has passed.
+add("stream_watermark", _windowed("append"), f"{_HOURS} where date_trunc('hour', ts) + interval 1 hour <= (select date_trunc('milliseconds', max(ts)) - interval 30 minutes from events) group by 1")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

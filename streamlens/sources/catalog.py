@@ -144,7 +144,8 @@ class Catalog:
 
     def delete(self, stream: str, start: int, end: int, start_id: str | None = None, namespace: str | None = None) -> dict[str, int]:
         """Remove events of [start, end] (with start_id: those after it) from every root; how many. Only days of the range are
-        rewritten: survivors are staged beside the stream, then swapped in a day at a time."""
+        rewritten: survivors are staged beside the stream, then swapped in a day at a time. A day is moved aside, not deleted, before its
+        survivors take its place, and goes only when all are in: a driver lost in between loses nothing."""
         out: dict[str, int] = {}
         for root in self.router(check_name(stream), namespace).write_to:
             found = self._all(stream, namespace, root)
@@ -152,8 +153,10 @@ class Catalog:
                 out[root] = 0
                 continue
             hit = self._range(start, end, start_id)
-            days = [r[0] for r in found.filter(hit).select(F.col(DAY)).distinct().collect()]
-            out[root] = found.filter(hit).count()
+            days, out[root] = [], 0
+            for day, n in found.filter(hit).groupBy(F.col(DAY)).count().collect():  # a row a day
+                days.append(day)
+                out[root] += n
             if not days:
                 continue
             path = self._path(root, stream, namespace)
@@ -162,9 +165,13 @@ class Catalog:
             for day in days:
                 fs, old = self._fs(f"{path}/{DAY}={day}")
                 _, new = self._fs(f"{staged}/{DAY}={day}")
-                fs.delete(old, True)
-                if fs.exists(new):
-                    fs.rename(new, old)
+                _, aside = self._fs(f"{staged}/_old-{day}")
+                fs.mkdirs(aside.getParent())
+                if not fs.rename(old, aside):
+                    raise CatalogError(f"{old} could not be moved")
+                if fs.exists(new) and not fs.rename(new, old):
+                    fs.rename(aside, old)
+                    raise CatalogError(f"{new} could not be moved")
             fs.delete(self._fs(staged)[1], True)
         return out
 

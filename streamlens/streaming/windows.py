@@ -23,12 +23,22 @@ def bucket_stream(events: DataFrame, ts: str, width: str, lateness: str, *aggreg
     return grouped.select(F.col("window.start").alias("bucket_start"), F.col("window.end").alias("bucket_end"), *(c for c in grouped.columns if c != "window"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through the streaming engine, into a table in memory."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Everything that is there now, through the streaming engine, into Parquet files below path, which driver and executors share.
+
+    In append mode each batch has a folder of its own, in complete mode each batch replaces the one before; a batch that runs again
+    overwrites what it wrote. The offsets are kept below path too, so a further call goes on where this one ended."""
+    out = f"{path}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, at = stream.sparkSession, stream.sparkSession._jvm.org.apache.hadoop.fs.Path(out)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def upsert(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -188,9 +188,9 @@ def test_streaming_windows(spark, tmp_path):
     df = spark.createDataFrame([(start + timedelta(minutes=i), i) for i in range(240)], "ts timestamp_ntz, v long")
     df.write.parquet(str(tmp_path / "in"))
     stream = windows.read_events(spark, str(tmp_path / "in"), df.schema)
-    whole = windows.run_available(windows.bucket_stream(stream, "ts", "1 hour", "30 minutes"), "whole_hours", "complete")
+    whole = windows.run_available(windows.bucket_stream(stream, "ts", "1 hour", "30 minutes"), str(tmp_path / "whole"), "complete")
     assert [r["n"] for r in whole.orderBy("bucket_start").collect()] == [60] * 4
-    final = windows.run_available(windows.bucket_stream(stream, "ts", "1 hour", "30 minutes", F.sum("v").alias("total")), "final_hours")
+    final = windows.run_available(windows.bucket_stream(stream, "ts", "1 hour", "30 minutes", F.sum("v").alias("total")), str(tmp_path / "final"))
     assert [r["total"] for r in final.orderBy("bucket_start").collect()] == [sum(range(60 * k, 60 * k + 60)) for k in range(3)]  # the last hour is not final
     seen = []
     query = windows.upsert(windows.bucket_stream(stream, "ts", "1 hour", "30 minutes"), lambda batch, k: seen.append(batch.count()), str(tmp_path / "ck"))
