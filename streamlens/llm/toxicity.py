@@ -114,23 +114,25 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 200) -> tuple[np.
 
     The generative model: a row's class is drawn with the prior, and given the class each voter votes toxic, votes clean or abstains
     with chances of its own. Expectation maximisation estimates these from the votes and the prior; no label is seen. A voter's weight
-    is one over one plus the sum of its strong correlations, within the classes, with other voters, so that voters that repeat each
+    is one over one plus the sum of its strong correlations, within the classes, with other voters of the same votes, so that voters that repeat each
     other count as one. The accuracy of a voter is how often its votes are right."""
     n, m = votes.shape
     if not n or not m:
         return np.full(n, prior), np.zeros(m), np.ones(m)
     kinds = [(votes == v).astype(np.float64) for v in (1, -1, 0)]
-    said, odds, weight = votes.astype(np.float64), np.log(prior / (1 - prior)), np.ones(m)
+    odds, weight = np.log(prior / (1 - prior)), np.ones(m)
     # At first each vote multiplies the odds of its class by FIRST_RATIO.
-    posterior = 1 / (1 + np.exp(-np.clip(odds + said.sum(1) * np.log(FIRST_RATIO), -30, 30)))
+    posterior = 1 / (1 + np.exp(-np.clip(odds + votes.sum(1, dtype=np.float64) * np.log(FIRST_RATIO), -30, 30)))
     for k in range(rounds):
         if k % 10 == 0:
-            # What the class leaves unexplained: a vote less the mean vote of its class.
-            left = said.copy()
-            for belongs in (posterior, 1 - posterior):
-                left -= np.outer(belongs, belongs @ said / max(belongs.sum(), 1e-9))
-            spread = np.sqrt((left**2).sum(0)) + 1e-9
-            correlation = (left.T @ left) / np.outer(spread, spread)
+            # What the class leaves unexplained, of votes for the same class: a vote less the mean vote of its row's class.
+            correlation = np.zeros((m, m))
+            for kind in kinds[:2]:
+                left = kind.copy()
+                for belongs in (posterior, 1 - posterior):
+                    left -= np.outer(belongs, belongs @ kind / max(belongs.sum(), 1e-9))
+                spread = np.sqrt((left**2).sum(0))
+                correlation = np.maximum(correlation, (left.T @ left) / np.maximum(np.outer(spread, spread), 1e-9))
             np.fill_diagonal(correlation, 0)
             correlation[correlation < 0.5] = 0
             weight = 1 / (1 + correlation.sum(0))
