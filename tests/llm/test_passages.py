@@ -157,3 +157,53 @@ def test_recall_of_shifted_passages(spark):
         seen.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
     assert need.keys() <= seen.keys()
     assert all(need[i] <= seen[i] for i in need)
+
+
+def test_links_of_documents_whose_words_are_found_already(spark):
+    """A later document has the same passage of many that are not similar to each other: it links them all, though one gives its words."""
+    new, texts, want = Words(11), [], {}
+    for g in range(12):
+        base = new(60)
+        first, second = changed(base, 6), changed(base, 53)  # each is similar to the base, but not to the other
+        assert index(first, second) < 0.8 <= min(index(first, base), index(second, base))
+        texts += [(10 * g + k, new(30) + words + new(30)) for k, words in enumerate((first, second, base, base, changed(base, 30)))]
+        want |= {10 * g + k: 10 * g for k in range(4)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(4)
+    got = {}
+    for r in substrings.passages(docs).collect():
+        got[r["doc_id"]] = got[r["source_id"]] = r["component_id"]
+    assert sum(got.get(i) == c for i, c in want.items()) >= 0.97 * len(want)
+
+
+def test_links_of_one_min_hash():
+    """Rows of one min-hash, by brute force: what passages link is what all similar pairs link."""
+    rng, least = np.random.default_rng(12), 20
+    linked = 0
+    for _ in range(40):
+        base = rng.integers(0, 2**32, 60, np.uint32)
+        rows = []
+        for doc in range(14):
+            body = base.copy()
+            off = rng.random(60) < rng.choice([0.02, 0.08, 0.3])
+            off[30] = False
+            body[off] = rng.integers(0, 2**32, int(off.sum()), np.uint32)
+            rows.append((0, doc, doc, 0, substrings.struct.pack("<3i", 30, 30, 29), body.tobytes()))
+
+        def roots(pairs):
+            root = list(range(14))
+            for a, b in pairs:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+            return root
+
+        pairs = []
+        for a in range(14):
+            for b in range(a):
+                same = np.frombuffer(rows[a][5], np.uint32) == np.frombuffer(rows[b][5], np.uint32)
+                spans = [(s, e) for s in range(31) for e in range(max(31, s + least), 61)]
+                if any(same[s:e].sum() >= 0.8 * (2 * (e - s) - same[s:e].sum()) for s, e in spans):
+                    pairs.append((a, b))
+        found = [(r[0], r[4]) for r in substrings.compared(rows, least, 5, 0.8)]
+        assert set(found) <= set(pairs) and roots(found) == roots(pairs)
+        linked += roots(pairs) != roots((r[0], r[4]) for r in substrings.compared(rows, least, 5, 0.8, False))
+    assert linked
