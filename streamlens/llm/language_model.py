@@ -1,5 +1,7 @@
 """A hierarchical Pitman-Yor language model whose scores cover an open vocabulary of any size.
 
+`score` learns from all bigrams (bigrams.py) unless it is asked for a smaller model, which is what follows and what is in this file.
+
 Unigram counts of all training tokens are kept for every word. The most frequent ALPHABET words are dishes of their own, all other
 words together are one more dish. A restaurant for each of CONTEXTS contexts (the most frequent previous words, and one for all
 others) serves these dishes; the context restaurants share a parent whose base is uniform. What the shared dish stands for is drawn
@@ -232,12 +234,20 @@ def fit_contexts(counts: np.ndarray) -> np.ndarray:
     return out / (SWEEPS - BURN_IN)
 
 
-def score(docs: DataFrame, alphabet: int = ALPHABET, contexts: int = CONTEXTS, lookup: int = LOOKUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, alphabet: int | None = None, contexts: int | None = None, lookup: int = LOOKUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; the model learns from rows that are not held out.
 
+    Every previous word has a restaurant with every word as a dish (bigrams.py), unless alphabet or contexts is given: then the smaller
+    model of this file, which pools the words and contexts beyond these numbers (the other number is ALPHABET or CONTEXTS).
+
     Logarithms are to base 10. A null text is empty: its end alone is scored. A null id counts as the empty text when folds are dealt;
     repeated rows are learned from and scored one by one; with nothing to learn from every token is the unknown word, with
     probability 1; an empty table gives none; other columns are ignored."""
+    if alphabet is None and contexts is None:
+        from . import bigrams
+
+        return bigrams.score(docs, lookup=lookup, id_col=id_col, text_col=text_col)
+    alphabet, contexts = alphabet or ALPHABET, contexts or CONTEXTS
     if not 1 <= contexts - 1 <= alphabet <= lookup:
         raise ValueError("contexts - 1 <= alphabet <= lookup is needed")
     rows = id_text(docs, id_col, text_col).withColumn("held_out", hash_bucket(FOLDS) == HELD_OUT)
