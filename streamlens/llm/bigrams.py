@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -41,20 +41,32 @@ KEPT = SWEEPS - BURN_IN
 PART = 8192
 
 
-class Keys(Codes):
-    """Keys of words; only those of the lookup are remembered."""
+class _Known(dict):
+    """Keys by word: what it lacks is hashed, and remembered if it is one of the lookup."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        import xxhash
 
-    def _learn(self, word: bytes) -> int:
-        if self.of is None:
-            self.of = {h: k for k, h in enumerate(self.hashes.tolist())}
-        h = word_hash(word)
+        self.digest, self.of = xxhash.xxh64_intdigest, {h: k for k, h in enumerate(hashes.view(np.uint64).tolist())}
+
+    def __missing__(self, word: bytes) -> int:
+        h = self.digest(word)
         code = self.of.get(h)
         if code is None:
             return h & (OTHER - 1) | OTHER
-        self.known[word] = code
+        self[word] = code
         return code
 
 
+class Keys(Codes):
+    """Keys of words: ranks in the lookup, or hashes."""
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if not isinstance(self.known, _Known):
+            self.known = _Known(self.hashes)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
 def other_key(h: Column) -> Column:
     return h.bitwiseAND(F.lit(OTHER - 1)).bitwiseOR(F.lit(OTHER))
 
@@ -363,14 +375,13 @@ def fit(found: DataFrame, hashes: np.ndarray, often: np.ndarray, n: int) -> tupl
         near = near.select("u", "w", "c", F.coalesce("at_u", F.lit(0.0)).alias("at_u"), F.coalesce("at_w", F.lit(0.0)).alias("at_w"))
         table, tables = seated(near, sweep)
         more = table.select("x", F.col("per").alias("p"), F.col("sent").alias("s"))
-        state = shared_table(
-            state.join(more, "x", "left").select(
-                "x", "as_context", "as_dish", F.concat("per", F.array(F.col("as_context") + F.coalesce("p", F.lit(0.0)))).alias("per"), F.concat("sent", F.array(F.col("as_dish") + F.coalesce("s", F.lit(0.0)))).alias("sent")
-            ),
-            "state",
-        )
-        now = state.select("x", F.element_at("sent", -1).alias("sent"))
-        ones, twos, total = (int(v or 0) for v in now.agg(F.count_if(F.col("sent") == 1), F.count_if(F.col("sent") == 2), F.sum("sent")).first())
+        state = state.join(more, "x", "left").select(
+            "x", "as_context", "as_dish", F.concat("per", F.array(F.col("as_context") + F.coalesce("p", F.lit(0.0)))).alias("per"), F.concat("sent", F.array(F.col("as_dish") + F.coalesce("s", F.lit(0.0)))).alias("sent")
+        )
+        totals, latest = Observation(), F.element_at("sent", -1)
+        state = shared_table(state.observe(totals, F.count_if(latest == 1).alias("ones"), F.count_if(latest == 2).alias("twos"), F.sum(latest).alias("sum")), "state")
+        now = state.select("x", latest.alias("sent"))
+        ones, twos, total = (int(totals.get.get(k) or 0) for k in ("ones", "twos", "sum"))
         d0 = discount(ones + s_ones + int((tables[1] == 1).sum()), twos + s_twos + int((tables[1] == 2).sum()))
         before = (STRENGTH + d0 * root) / n
 
@@ -412,10 +423,10 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
     for part in found.filter("kind = 3").select(F.col("u").cast("int"), F.col("w").cast("int"), "c").toArrow().to_batches():
         table[part.column(0), part.column(1)] = part.column(2)
     common = np.zeros((wide, high), np.float32)
-    for u in range(wide):
-        w = np.arange(high)
-        per, parent = [np.full(high, p[u]) for p in model.per[BURN_IN:]], [p[:high] for p in model.parent[BURN_IN:]]
-        common[u] = model.chance(table[u], np.full(high, often[u]), per, parent, cell_keys(model.hashes, np.full(high, u), w))
+    for at in range(0, wide, 16):
+        u, w = (x.ravel() for x in np.mgrid[at : min(at + 16, wide), 0:high])
+        per, parent = [p[u] for p in model.per[BURN_IN:]], [p[w] for p in model.parent[BURN_IN:]]
+        common[at : at + 16] = model.chance(table[u, w], often[u], per, parent, cell_keys(model.hashes, u, w)).reshape(-1, high)
     del table, top
     base = np.log10((often + 0.1) / (n + 0.1 * (v + 1)))
     known = spark.sparkContext.broadcast((model, base, common))
@@ -475,11 +486,9 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
                 facts.append(part.filter(pa.array(~got & ~docs.to_numpy(zero_copy_only=False))))
             if not blocks:
                 continue
-            block = np.repeat(np.arange(len(blocks)), [len(a[0]) for _, a in blocks])
             first = np.concatenate([np.cumsum(a[0]) for _, a in blocks])
             who, times = (np.concatenate([a[k] for _, a in blocks]) for k in (-2, -1))
             train = np.where(who & 1, 0, times)
-            place = block << DOC_BITS | who
             if b % 2 == 0:
                 pair, back = np.unique(first, return_inverse=True)
                 c = np.bincount(back, train).astype(np.int64)
@@ -521,13 +530,15 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
                 value = model.chance(c, customers, per, parent, cell_keys(model.hashes, u, w))
                 plain = np.where(mine, 0.0, np.log10((often + 0.1) / (n + 0.1 * (v + 1))))
                 weights = [value[back] * times, (often > 0)[back] * times, plain[back] * times]
-            spot, back = np.unique(place, return_inverse=True)
-            of = spot >> DOC_BITS
-            total = [np.bincount(back, x) for x in weights] + [np.zeros(len(spot))] * (3 - len(weights))
-            total[0] = total[0].astype(np.float32).astype(np.float64)
-            row = (spot & ((1 << DOC_BITS) - 1)) >> 1
-            out = [(k, encode(deltas(row[at]), *(x[at].view(np.int64) for x in total))) for k, at in parted(of)]
-            yield nulls(len(out), b=pa.array(np.full(len(out), b, np.int32)), chunk=pa.array([blocks[k][0] for k, _ in out], pa.int64()), data=pa.array([x for _, x in out], pa.binary()))
+            out, end = [], 0
+            for _, a in blocks:
+                at = slice(end, end + len(a[0]))
+                end, doc = at.stop, who[at] >> 1
+                row = np.flatnonzero(np.bincount(doc))
+                total = [np.bincount(doc, x[at])[row] for x in weights] + [np.zeros(len(row))] * (3 - len(weights))
+                total[0] = total[0].astype(np.float32).astype(np.float64)
+                out.append(encode(deltas(row), *(x.view(np.int64) for x in total)))
+            yield nulls(len(out), b=pa.array(np.full(len(out), b, np.int32)), chunk=pa.array([chunk for chunk, _ in blocks], pa.int64()), data=pa.array(out, pa.binary()))
 
     def learn(facts):
         """Of the words outside the lookup: keys in order, customers, and tables as context and as dish of the kept sweeps."""
