@@ -39,6 +39,8 @@ CHUNK, BUCKET = 1_000_000, 2_000_000
 KEPT = SWEEPS - BURN_IN
 #: Words of the lookup whose tables are added up together.
 PART = 8192
+#: Cells whose probabilities are worked out at a time: what they need of every kept sweep is held for these alone.
+CELLS = 65_536
 
 
 class _Known(dict):
@@ -123,7 +125,7 @@ def chunks(batches: Iterator[pa.RecordBatch], keys: Keys, start: int) -> Iterato
         w = np.concatenate(rows)
         u = np.concatenate([[start], w[:-1]])
         u[np.cumsum(size)[:-1]] = start
-        return pa.chunked_array(ids).combine_chunks(), np.array(held, bool), size, np.repeat(np.arange(len(rows)), size), u, w
+        return pa.chunked_array(ids).combine_chunks(), np.array(held, bool), size, np.repeat(np.arange(len(rows), dtype=np.int32), size), u, w
 
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -458,7 +460,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
                 docs, b=pa.array(np.full(docs, 2 * (chunk % buckets), np.int32)), chunk=pa.array(np.full(docs, chunk)), x=pa.array(np.arange(docs)), c=pa.array(size), doc_id=ids,
                 held_out=pa.array(held), n_known=pa.array(first[0]), base=pa.array(first[1]), model=pa.array(first[2]),
             )
-            both, who = (u < OTHER) & mine & ~hot, doc << 1 | held[doc]
+            both, who = (u < OTHER) & mine & ~hot, (doc << 1 | held[doc]).astype(np.int64)
             pair = (u[both] << CODE_BITS) | w[both]
             at, n = np.unique((pair_bucket(pair, buckets) << (2 * CODE_BITS + DOC_BITS)) | pair << DOC_BITS | who[both], return_counts=True)
             pair, whose = (at >> DOC_BITS) & ((1 << 2 * CODE_BITS) - 1), at & ((1 << DOC_BITS) - 1)
@@ -477,68 +479,84 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
     def meet(batches):
         model, _, _ = known.value
         for b, parts in grouped(batches):
-            blocks, facts = [], []
+            serials, sizes, read, facts = [], [], [], []
             for part in parts:
                 got = part.column(names.index("data")).is_valid().to_numpy(zero_copy_only=False)
-                blocks += list(zip(part.column(1).filter(pa.array(got)).to_pylist(), map(decode, part.column(2).filter(pa.array(got)).to_pylist()), strict=True))
+                serials += part.column(1).filter(pa.array(got)).to_pylist()
+                for data in part.column(2).filter(pa.array(got)).to_pylist():
+                    x, *y, who, times = decode(data)
+                    sizes.append(len(x))
+                    read.append((np.cumsum(x), *y, who.astype(np.int16), times.astype(np.int32)))
                 docs = part.column(names.index("held_out")).is_valid()
                 yield part.filter(docs)
                 facts.append(part.filter(pa.array(~got & ~docs.to_numpy(zero_copy_only=False))))
-            if not blocks:
+            if not read:
                 continue
-            first = np.concatenate([np.cumsum(a[0]) for _, a in blocks])
-            who, times = (np.concatenate([a[k] for _, a in blocks]) for k in (-2, -1))
+            first, *second, who, times = (np.concatenate(a) for a in zip(*read, strict=True))
+            del read
             train = np.where(who & 1, 0, times)
             if b % 2 == 0:
                 pair, back = np.unique(first, return_inverse=True)
+                del first
                 c = np.bincount(back, train).astype(np.int64)
-                u, w = pair >> CODE_BITS, pair & ((1 << CODE_BITS) - 1)
-                value = model.chance(c, model.often[u], [p[u] for p in model.per[BURN_IN:]], [p[w] for p in model.parent[BURN_IN:]], cell_keys(model.hashes, u, w))
-                weights = [value[back] * times]
+                values = [np.empty(len(pair))]
+                for at in range(0, len(pair), CELLS):
+                    some = slice(at, at + CELLS)
+                    u, w = pair[some] >> CODE_BITS, pair[some] & ((1 << CODE_BITS) - 1)
+                    values[0][some] = model.chance(c[some], model.often[u], [p[u] for p in model.per[BURN_IN:]], [p[w] for p in model.parent[BURN_IN:]], cell_keys(model.hashes, u, w))
             else:
-                second = np.concatenate([a[1] for _, a in blocks])
-                order = np.lexsort((second, first))
-                x, y, train = first[order], second[order], train[order]
+                order = np.lexsort((second[0], first))
+                x, y = first[order], second[0][order]
+                del first, second
                 at = runs(x, y)
                 back = np.empty(len(x), np.int64)
                 back[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(x)))
-                x, y, c = x[at], y[at], np.add.reduceat(train, at)
-                u, w = np.where(y < 0, x, y), np.where(y < 0, -1 - y, x)
-                word, cx, per_x, sent_x = learn(facts)
-
-                def spots(a, word=word):
-                    """(cells whose word is outside the lookup and known, their rows in word)."""
-                    at = np.minimum(np.searchsorted(word, a), max(len(word) - 1, 0))
-                    hit = (word[at] == a) & (a >= OTHER) if len(word) else np.zeros(len(a), bool)
-                    return hit, at[hit]
-
-                customers, per = np.zeros(len(u)), np.zeros((KEPT + 1, len(u)))
-                mine, (hit, row) = u < OTHER, spots(u)
-                customers[mine], customers[hit] = model.often[u[mine]], cx[row]
-                for k in range(KEPT + 1):
-                    per[k][mine], per[k][hit] = model.per[BURN_IN + k][u[mine]], per_x[k][row]
-                mine, (hit, row) = w < OTHER, spots(w)
-                often, customers_w = np.zeros(len(u)), np.zeros((KEPT + 1, len(u)))
-                often[hit] = cx[row]
-                parent = []
-                for k in range(KEPT + 1):
-                    customers_w[k][hit] = sent_x[k][row]
-                    q = np.zeros(len(u))
-                    q[mine] = model.parent[BURN_IN + k][w[mine]]
-                    q[~mine] = model.parents(customers_w[k][~mine], w[~mine], BURN_IN + k - 1)
-                    parent.append(q)
-                value = model.chance(c, customers, per, parent, cell_keys(model.hashes, u, w))
-                plain = np.where(mine, 0.0, np.log10((often + 0.1) / (n + 0.1 * (v + 1))))
-                weights = [value[back] * times, (often > 0)[back] * times, plain[back] * times]
+                x, y, c = x[at], y[at], np.add.reduceat(train[order], at, dtype=np.int64)
+                del order
+                learned = learn(facts)
+                values = [np.empty(len(x)) for _ in range(3)]
+                for at in range(0, len(x), CELLS):
+                    some = slice(at, at + CELLS)
+                    for value, part in zip(values, likely(model, x[some], y[some], c[some], *learned), strict=True):
+                        value[some] = part
             out, end = [], 0
-            for _, a in blocks:
-                at = slice(end, end + len(a[0]))
+            for size in sizes:
+                at = slice(end, end + size)
                 end, doc = at.stop, who[at] >> 1
                 row = np.flatnonzero(np.bincount(doc))
-                total = [np.bincount(doc, x[at])[row] for x in weights] + [np.zeros(len(row))] * (3 - len(weights))
+                total = [np.bincount(doc, x[back[at]] * times[at])[row] for x in values] + [np.zeros(len(row))] * (3 - len(values))
                 total[0] = total[0].astype(np.float32).astype(np.float64)
                 out.append(encode(deltas(row), *(x.view(np.int64) for x in total)))
-            yield nulls(len(out), b=pa.array(np.full(len(out), b, np.int32)), chunk=pa.array([chunk for chunk, _ in blocks], pa.int64()), data=pa.array(out, pa.binary()))
+            yield nulls(len(out), b=pa.array(np.full(len(out), b, np.int32)), chunk=pa.array(serials, pa.int64()), data=pa.array(out, pa.binary()))
+
+    def likely(model, x, y, c, word, cx, per_x, sent_x):
+        """Of cells with a word outside the lookup (as `sides` has them, counts c): the logarithm of the probability, whether the dish is a known
+        word outside the lookup, and the base's logarithm for a dish outside it; word and what follows are of `learn`."""
+        u, w = np.where(y < 0, x, y), np.where(y < 0, -1 - y, x)
+
+        def spots(a):
+            """(cells whose word is outside the lookup and known, their rows in word)."""
+            at = np.minimum(np.searchsorted(word, a), max(len(word) - 1, 0))
+            hit = (word[at] == a) & (a >= OTHER) if len(word) else np.zeros(len(a), bool)
+            return hit, at[hit]
+
+        customers, per = np.zeros(len(u)), np.zeros((KEPT + 1, len(u)))
+        mine, (hit, row) = u < OTHER, spots(u)
+        customers[mine], customers[hit] = model.often[u[mine]], cx[row]
+        for k in range(KEPT + 1):
+            per[k][mine], per[k][hit] = model.per[BURN_IN + k][u[mine]], per_x[k][row]
+        mine, (hit, row) = w < OTHER, spots(w)
+        often, customers_w = np.zeros(len(u)), np.zeros((KEPT + 1, len(u)))
+        often[hit] = cx[row]
+        parent = []
+        for k in range(KEPT + 1):
+            customers_w[k][hit] = sent_x[k][row]
+            q = np.zeros(len(u))
+            q[mine] = model.parent[BURN_IN + k][w[mine]]
+            q[~mine] = model.parents(customers_w[k][~mine], w[~mine], BURN_IN + k - 1)
+            parent.append(q)
+        value = model.chance(c, customers, per, parent, cell_keys(model.hashes, u, w))
+        return value, often > 0, np.where(mine, 0.0, np.log10((often + 0.1) / (n + 0.1 * (v + 1))))
 
     def learn(facts):
         """Of the words outside the lookup: keys in order, customers, and tables as context and as dish of the kept sweeps."""

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark import TaskContext
 
 from streamlens.llm import bigrams, language_model
 
@@ -75,3 +76,19 @@ def test_blocks_come_back():
     a, b = np.array([3, 9, 1 << 62]), np.array([-1, 0, 2])
     first, second = bigrams.decode(bigrams.encode(bigrams.deltas(a), b))
     assert (np.cumsum(first) == a).all() and (second == b).all()
+
+
+class Few(bigrams.Model):
+    def chance(self, c, *rest):
+        assert TaskContext.get() is None or len(c) <= 50, "a task holds what all sweeps know of too many cells"
+        return super().chance(c, *rest)
+
+
+def test_cells_of_a_bucket_are_worked_out_a_few_at_a_time(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(400, int(rng.paretovariate(0.6)))}" for _ in range(30))) for i in range(60)], "doc_id long, text string").repartition(3)
+    whole = {r["doc_id"]: r for r in bigrams.score(docs, contexts=4, dishes=4, lookup=32).collect()}
+    monkeypatch.setattr(bigrams, "CELLS", 50, raising=False)
+    monkeypatch.setattr(bigrams, "Model", Few)
+    got = {r["doc_id"]: r for r in bigrams.score(docs, contexts=4, dishes=4, lookup=32).collect()}
+    assert got == whole
