@@ -207,3 +207,15 @@ def test_links_of_one_min_hash():
         assert set(found) <= set(pairs) and roots(found) == roots(pairs)
         linked += roots(pairs) != roots((r[0], r[4]) for r in substrings.compared(rows, least, 5, 0.8, False))
     assert linked
+
+
+def test_passages_of_small_blocks_are_handed_on_together():
+    rng, rows = np.random.default_rng(13), []
+    for v in range(300):
+        body = rng.integers(0, 2**32, 60, np.uint32)
+        for doc in (2 * v, 2 * v + 1):
+            rows.append((v, 0, 0, 0, doc, doc, 0, substrings.struct.pack("<3i", 30, 30, 29), body.tobytes()))
+            body[0] += 1
+    got = list(substrings._blocks(46, 5, 0.8, True)(iter([substrings._batch(rows, substrings._BODY)])))
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == list(range(1, 600, 2))
+    assert len(got) == 1
