@@ -219,3 +219,47 @@ def test_passages_of_small_blocks_are_handed_on_together():
     got = list(substrings._blocks(46, 5, 0.8, True)(iter([substrings._batch(rows, substrings._BODY)])))
     assert [x for b in got for x in b.column("doc_id").to_pylist()] == list(range(1, 600, 2))
     assert len(got) == 1
+
+
+def test_words_are_hashed_together_as_they_are_split(monkeypatch):
+    monkeypatch.setattr(substrings, "_BYTES", 16)
+    texts = ["", "Aa b", None, " \t\n\x0b\x0c\r", "aA\x0bB É \x1cx \x00  ", "w" * 33 + "Y z", "w" * 33 + "y " + "q" * 500 + " end", "a ab ba abba", "Z"]
+    split = [(t or "").encode().lower().split() for t in texts]
+    hashes, counts = substrings.word_hashes([(t or "").encode() for t in texts])
+    assert counts.tolist() == [len(w) for w in split]
+    words = [w for ws in split for w in ws]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    shingles, _ = substrings.shingle_hashes([b"a b c d e f", b"x", b"", b"B C D E F"])
+    assert np.flatnonzero(shingles).tolist() == [0, 1, 7] and shingles[1] == shingles[7]
+    assert not len(substrings.shingle_hashes([])[0]) and not len(substrings.shingle_hashes([b" ", b""])[0])
+
+
+def test_windows_are_looked_for_a_stretch_at_a_time(monkeypatch):
+    """By brute force, and the same whatever the stretch."""
+    rng = np.random.default_rng(14)
+    for stretch in (7, 1 << 15):
+        monkeypatch.setattr(substrings, "_PLACES_AT", stretch)
+        for _ in range(50):
+            h, least, reach = rng.integers(0, 30, 90).astype(np.uint64), int(rng.integers(1, 12)), int(rng.integers(12, 40))
+            want = []
+            for c in np.flatnonzero(h).tolist():
+                l = r = c  # noqa: E741
+                while l > 0 and h[l - 1] >= h[c]:
+                    l -= 1  # noqa: E741
+                while r < 89 and h[r + 1] >= h[c]:
+                    r += 1
+                if r - l + 1 >= least:
+                    want.append((max(l, c - reach), c, min(r, c + reach)))
+            assert list(zip(*(x.tolist() for x in substrings.compact_windows(h, least, reach)), strict=True)) == want
+
+
+def test_nothing_is_searched_where_every_word_of_a_window_is_found(monkeypatch):
+    rng, asked = np.random.default_rng(15), []
+    placed = substrings._placed
+    monkeypatch.setattr(substrings, "_placed", lambda *a: asked.append(a) or placed(*a))
+    base, rows = rng.integers(0, 2**32, 80, np.uint32), []
+    for doc in range(2):
+        body = base.copy()
+        body[-5:] += np.uint32(doc)
+        rows.append((0, doc, doc, 0, substrings.struct.pack("<3i", 35, 35, 35), body.tobytes()))
+    assert substrings.compared(rows, 46, 5, 0.8) == [(1, 1, 0, 79, 0, 0, 79, 1.0)] and not asked
