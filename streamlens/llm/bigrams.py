@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SLICE_ROWS, hash_bucket, id_text, shared_table
-from .language_model import BURN_IN, END, FOLDS, HELD_OUT, LOOKUP, STRENGTH, SWEEPS, Codes, discount, frequent, seat, unigrams, word_hash, words_of
+from .language_model import BURN_IN, END, FOLDS, HELD_OUT, LOOKUP, STRENGTH, SWEEPS, Codes, discount, frequent, raw_texts, seat, unigrams, word_hash
+from .substrings import word_hashes
 
 #: Keys of words outside the lookup have this bit and the lower bits of their hash; those of the lookup are ranks of CODE_BITS bits.
 OTHER = 1 << 62
+#: Upper bits of a hash by which a word of the lookup is found at once; those that an earlier one keeps from its place are searched for.
+SPOT_BITS = 20
 CODE_BITS, DOC_BITS, BUCKET_BITS = 17, 14, 15
 #: Cells that are broadcast for scoring.
 CONTEXTS, DISHES = 256, 8192
@@ -43,30 +46,46 @@ PART = 8192
 CELLS = 65_536
 
 
-class _Known(dict):
-    """Keys by word: what it lacks is hashed, and remembered if it is one of the lookup."""
-
-    def __init__(self, hashes: np.ndarray) -> None:
-        import xxhash
-
-        self.digest, self.of = xxhash.xxh64_intdigest, {h: k for k, h in enumerate(hashes.view(np.uint64).tolist())}
-
-    def __missing__(self, word: bytes) -> int:
-        h = self.digest(word)
-        code = self.of.get(h)
-        if code is None:
-            return h & (OTHER - 1) | OTHER
-        self[word] = code
-        return code
-
-
 class Keys(Codes):
     """Keys of words: ranks in the lookup, or hashes."""
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        if not isinstance(self.known, _Known):
-            self.known = _Known(self.hashes)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.keys(np.array([word_hash(w) for w in words], np.int64).view(np.uint64))
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Keys of words by their hashes."""
+        if self.of is None:
+            self.of = self._spots()
+        spots, own, late, codes = self.of
+        out = ((h & np.uint64(OTHER - 1)) | np.uint64(OTHER)).view(np.int64)
+        if len(own):
+            code = spots.take((h >> np.uint64(64 - SPOT_BITS)).astype(np.int64))
+            same = own.take(code, mode="clip") == h
+            same &= code >= 0
+            np.copyto(out, code, where=same)
+            rest = np.flatnonzero((code >= 0) & ~same)
+            if len(late) and len(rest):
+                at = np.minimum(late.searchsorted(h[rest]), len(late) - 1)
+                hit = late[at] == h[rest]
+                out[rest[hit]] = codes[at[hit]]
+        return out
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of all texts' words, each text's end after them; how many each text has)."""
+        h, n = word_hashes(texts)
+        out, ends = np.empty(len(h) + len(n), np.int64), np.cumsum(n + 1) - 1
+        word = np.ones(len(out), bool)
+        word[ends] = False
+        out[word], out[ends] = self.keys(h), self([END])[0]
+        return out, n + 1
+
+    def _spots(self) -> tuple[np.ndarray, ...]:
+        own = self.hashes.view(np.uint64)
+        spot, spots = (own >> np.uint64(64 - SPOT_BITS)).astype(np.int64), np.full(1 << SPOT_BITS, -1, np.int32)
+        spots[spot[::-1]] = np.arange(len(own) - 1, -1, -1, dtype=np.int32)
+        late = np.flatnonzero(spots[spot] != np.arange(len(own)))
+        late = late[own[late].argsort()]
+        return spots, own, own[late], late
 
 
 def other_key(h: Column) -> Column:
@@ -116,28 +135,41 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def in_order(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """The order of rows by first, then the others; most are told apart by first, a hash, so only the rest is sorted by more."""
+    order = first.argsort()
+    x = first[order]
+    tied = np.zeros(len(x), bool)
+    tied[1:] = x[1:] == x[:-1]
+    tied[:-1] |= tied[1:]
+    some = order[tied]
+    order[tied] = some[np.lexsort((*(a[some] for a in rest[::-1]), first[some]))]
+    return order
+
+
 def chunks(batches: Iterator[pa.RecordBatch], keys: Keys, start: int) -> Iterator[tuple]:
     """(ids, held out, lengths, document of each token, previous words, words) of batches (doc_id, text, held_out), some CHUNK tokens at a time."""
-    ids, held, rows, tokens = [], [], [], 0
+    ids, held, rows, sizes, tokens = [], [], [], [], 0
 
     def flush():
-        size = np.array([len(r) for r in rows])
+        size = np.concatenate(sizes)
         w = np.concatenate(rows)
         u = np.concatenate([[start], w[:-1]])
         u[np.cumsum(size)[:-1]] = start
-        return pa.chunked_array(ids).combine_chunks(), np.array(held, bool), size, np.repeat(np.arange(len(rows), dtype=np.int32), size), u, w
+        return pa.chunked_array(ids).combine_chunks(), np.array(held, bool), size, np.repeat(np.arange(len(size), dtype=np.int32), size), u, w
 
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
-            for text in part.column(1).to_pylist():
-                rows.append(keys(words_of(text)))
-                tokens += len(rows[-1])
+        for at, texts in enumerate(raw_texts(batch)):
+            part = batch.slice(at * SLICE_ROWS, SLICE_ROWS)
+            w, size = keys.of_texts(texts)
+            rows.append(w)
+            sizes.append(size)
+            tokens += len(w)
             ids.append(part.column(0))
             held += part.column(2).to_pylist()
-            if tokens > CHUNK or len(rows) + SLICE_ROWS > 1 << (DOC_BITS - 1):
+            if tokens > CHUNK or len(held) + SLICE_ROWS > 1 << (DOC_BITS - 1):
                 yield flush()
-                ids, held, rows, tokens = [], [], [], 0
+                ids, held, rows, sizes, tokens = [], [], [], [], 0
     if rows:
         yield flush()
 
@@ -224,7 +256,7 @@ def tally(rows: DataFrame, sent, start: int, buckets: int, cells: tuple[int, int
             out = [(2 * b, encode(deltas(pair[at]), n[at].astype(np.int64))) for b, at in parted(found >> 2 * CODE_BITS)]
             rest = ~both & (train | ((u >= OTHER) & (w >= OTHER)))
             x, y = sides(u[rest], w[rest])
-            order = np.lexsort((y, x))
+            order = in_order(x, y)
             x, y, n = x[order], y[order], train[rest][order].astype(np.int64)
             at = runs(x, y)
             if len(at):
@@ -256,7 +288,7 @@ def tally(rows: DataFrame, sent, start: int, buckets: int, cells: tuple[int, int
                 yield pa.RecordBatch.from_arrays([pa.array([4], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block[1]]), pa.array([block[0]], pa.binary())], columns)
                 continue
             x, y, n = (np.concatenate(a) for a in zip(*((np.cumsum(x), y, n) for x, y, n in blocks), strict=True))
-            order = np.lexsort((y, x))
+            order = in_order(x, y)
             x, y, n = x[order], y[order], n[order]
             at = runs(x, y)
             x, y, c = x[at], y[at], np.add.reduceat(n, at)
@@ -467,7 +499,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
             out = [(2 * b, encode(deltas(pair[k]), whose[k], n[k].astype(np.int64))) for b, k in parted(at >> (2 * CODE_BITS + DOC_BITS))]
             rest = ~mine | (u >= OTHER)
             x, y = sides(u[rest], w[rest])
-            order = np.lexsort((who[rest], y, x))
+            order = in_order(x, y, who[rest])
             x, y, whose = x[order], y[order], who[rest][order]
             at = runs(x, y, whose)
             n = np.diff(at, append=len(x))
@@ -505,7 +537,7 @@ def score(docs: DataFrame, contexts: int = CONTEXTS, dishes: int = DISHES, looku
                     u, w = pair[some] >> CODE_BITS, pair[some] & ((1 << CODE_BITS) - 1)
                     values[0][some] = model.chance(c[some], model.often[u], [p[u] for p in model.per[BURN_IN:]], [p[w] for p in model.parent[BURN_IN:]], cell_keys(model.hashes, u, w))
             else:
-                order = np.lexsort((second[0], first))
+                order = in_order(first, second[0])
                 x, y = first[order], second[0][order]
                 del first, second
                 at = runs(x, y)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, hash_bucket, id_text, map_slices, shared_table
+from .substrings import _PLACES, _SUMMANDS, word_hashes
 
 FOLDS, HELD_OUT = 10, 0
 ALPHABET = 8192
@@ -32,15 +33,16 @@ SWEEPS, BURN_IN = 6, 2
 STRENGTH = 1.0
 #: Customers of a dish are seated in steps of one LEAP-th of those seated already.
 LEAP = 16
-#: A word cache's most entries, and a counter's before it is handed on.
-_CACHE, _FLUSH = 100_000, 150_000
+#: A word cache's most entries, tokens counted at a time, and the most words counted before they are handed on.
+_CACHE, _TOKENS, _FLUSH = 100_000, 1_000_000, 1_000_000
 END = b""  # no word is empty
 
 
 def word_hash(word: bytes) -> int:
+    """As `word_hashes` has it, signed; the end has one of its own."""
     import xxhash
 
-    h = xxhash.xxh64_intdigest(word)
+    h = sum(int(_SUMMANDS[k << 8 | b]) for k, b in enumerate(word)) % 2**64 if 0 < len(word) <= _PLACES else xxhash.xxh64_intdigest(word)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -51,28 +53,43 @@ def words_of(text: str | None) -> list[bytes]:
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[str | None]:
     """The texts of a batch, few of them as Python strings at a time."""
+    for part in raw_texts(batch):
+        yield from (t.decode() for t in part)
+
+
+def raw_texts(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    """The texts of a batch in UTF-8, null ones empty, SLICE_ROWS at a time."""
     for at in range(0, batch.num_rows, SLICE_ROWS):
-        yield from batch.column(1).slice(at, SLICE_ROWS).to_pylist()
+        yield [t or b"" for t in batch.column(1).slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist()]
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
     """(h, c): how often each word, known by its 64-bit hash, occurs in docs (doc_id, text). Counted per task before the shuffle."""
 
     def run(batches):
-        from collections import Counter
+        words, times, fresh, tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        end = np.int64(word_hash(END))
 
-        seen: Counter[bytes] = Counter()
-
-        def out():
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
+        def merged():
+            h, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (words[:0], times[:0])
+            h, n = np.concatenate([words, h]), np.concatenate([times, n])
+            order = h.argsort()
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            return (h[at], np.add.reduceat(n, at)) if len(h) else (h, n)
 
         for batch in batches:
-            for text in texts_of(batch):
-                seen.update(words_of(text))
-                if len(seen) > _FLUSH:
-                    yield from out()
-                    seen.clear()
-        yield from out()
+            for part in raw_texts(batch):
+                h = word_hashes(part)[0].view(np.int64)
+                fresh += [h, np.full(len(part), end)]
+                tokens += len(h) + len(part)
+                if tokens > _TOKENS:
+                    (words, times), fresh, tokens = merged(), [], 0
+                    if len(words) > _FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times)], ["h", "c"])
+                        words, times = words[:0], times[:0]
+        words, times = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(times)], ["h", "c"])
 
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 

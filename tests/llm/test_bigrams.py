@@ -92,3 +92,35 @@ def test_cells_of_a_bucket_are_worked_out_a_few_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(bigrams, "Model", Few)
     got = {r["doc_id"]: r for r in bigrams.score(docs, contexts=4, dishes=4, lookup=32).collect()}
     assert got == whole
+
+
+def test_keys_of_texts_are_those_of_their_words(monkeypatch):
+    monkeypatch.setattr(bigrams, "SPOT_BITS", 3)  # most words of the lookup share their place
+    texts = ["Aa b aA", None, "", " \t", "w" * 40 + " É B\x0bc", " ".join(f"x{k} X{k % 7}" for k in range(300))]
+    words = [language_model.words_of(t) for t in texts]
+    common = [w for w, _ in Counter(w for ws in words for w in ws).most_common(40)]
+    hashes = np.array([language_model.word_hash(w) for w in common])
+    for some in (hashes, hashes[:0]):
+        got, sizes = bigrams.Keys(some).of_texts([(t or "").encode() for t in texts])
+        rank = {h: k for k, h in enumerate(some.tolist())}
+        want = [rank.get(h, h & (bigrams.OTHER - 1) | bigrams.OTHER) for h in (language_model.word_hash(w) for ws in words for w in ws)]
+        assert got.tolist() == want and sizes.tolist() == [len(ws) for ws in words]
+
+
+def test_words_are_counted_together(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "_TOKENS", 20)
+    monkeypatch.setattr(language_model, "_FLUSH", 30)
+    texts = [(i, None if i % 9 == 0 else " ".join(f"A{k % (i + 1)}" for k in range(i))) for i in range(40)]
+    want = Counter(language_model.word_hash(w) for _, t in texts for w in language_model.words_of(t))
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert {r["h"]: r["c"] for r in language_model.unigrams(rows).collect()} == want
+    assert not language_model.unigrams(rows.limit(0)).collect()
+
+
+def test_order_of_rows():
+    rng = np.random.default_rng(16)
+    for most in (3, 200, 1 << 40):
+        a, b, c = rng.integers(0, most, (3, 500))
+        got = bigrams.in_order(a, b, c)
+        assert sorted(got.tolist()) == list(range(500)) and all((x[got] == x[np.lexsort((c, b, a))]).all() for x in (a, b, c))
+    assert len(bigrams.in_order(a[:0], b[:0])) == 0
