@@ -263,3 +263,67 @@ def test_nothing_is_searched_where_every_word_of_a_window_is_found(monkeypatch):
         body[-5:] += np.uint32(doc)
         rows.append((0, doc, doc, 0, substrings.struct.pack("<3i", 35, 35, 35), body.tobytes()))
     assert substrings.compared(rows, 46, 5, 0.8) == [(1, 1, 0, 79, 0, 0, 79, 1.0)] and not asked
+
+
+def _mutated(rng, rows, share):
+    """Rows of one min-hash at place 40 of 80, with some shingles of a common body."""
+    base, out = rng.integers(0, 2**32, 80, np.uint32), []
+    for doc in range(rows):
+        body, off = base.copy(), rng.random(80) < rng.choice(share)
+        off[40] = False
+        body[off] = rng.integers(0, 2**32, int(off.sum()), np.uint32)
+        if doc % 3 == 0:  # moved to the right
+            at = int(rng.integers(41, 80))
+            body = np.concatenate([body[:at], rng.integers(0, 2**32, 2, np.uint32), body[at:]])[:80]
+        out.append(body)
+    return out
+
+
+def test_passages_of_many_pairs_at_once_are_those_of_each():
+    """Against _in_order, pair by pair."""
+    rng, found, least = np.random.default_rng(16), 0, 30
+    bodies = [b[int(rng.integers(0, 12)) : 80 - int(rng.integers(0, 12))] for b in _mutated(rng, 40, (0.02, 0.1, 0.2))]
+    at = np.array([int(np.flatnonzero(b == _common(bodies))[0]) for b in bodies])
+    values = np.unique(np.concatenate(bodies))
+    numbered = np.full((40, int(at.max()) + max(len(b) - a for a, b in zip(at, bodies, strict=True))), len(values))
+    for k, b in enumerate(bodies):
+        numbered[k, at.max() - at[k] : at.max() - at[k] + len(b)] = np.searchsorted(values, b)
+    spans = substrings._Spans(numbered, at, np.array([len(b) for b in bodies]) - at, len(values), least, 0.8)
+    of, to = np.divmod(np.arange(1600), 40)
+    for i, j, s, e in zip(of.tolist(), to.tolist(), *spans(of, to).tolist(), strict=True):
+        order = substrings._Ordered(bodies[j])
+        got = substrings._in_order(bodies[i], bodies[j], *substrings._placed(bodies[i], order.by, order.sorted), int(at[i]), 0.8, least)
+        assert got is not False
+        if e - s < 1 << 20:
+            assert (got is None) == (s == e) and (got is None or (got[0], got[1]) == (s + at[i], e + at[i]))
+            found += got is not None
+    assert found > 400
+
+
+def _common(bodies):
+    return min(set.intersection(*(set(b.tolist()) for b in bodies)))
+
+
+@pytest.mark.parametrize("rows", [40, 120])
+def test_pairs_without_a_passage_are_not_searched_one_by_one(monkeypatch, rows):
+    """Every two rows share many shingles, few have a passage or one with new words: the pairs grow with the square of the rows, what is
+    searched does not."""
+    asked, in_order = [], substrings._in_order
+    monkeypatch.setattr(substrings, "_in_order", lambda *a: asked.append(a) or in_order(*a))
+    bodies = _mutated(np.random.default_rng(17), rows, (0.07, 0.09))
+    block = [(0, doc, doc, 0, substrings.struct.pack("<3i", 40, 40, 39), b.tobytes()) for doc, b in enumerate(bodies)]
+    assert substrings.compared(block, 46, 5, 0.8)
+    assert len(asked) <= 4 * rows
+
+
+def test_links_and_words_are_the_same_however_pairs_are_looked_at(monkeypatch):
+    rng = np.random.default_rng(18)
+    for _ in range(6):
+        block = [(0, doc, doc, 0, substrings.struct.pack("<3i", 40, 40, 39), b.tobytes()) for doc, b in enumerate(_mutated(rng, 36, (0.02, 0.08, 0.15)))]
+        got = []
+        for few, many in ((64, 8), (0, 0), (0, 1 << 20)):
+            monkeypatch.setattr(substrings, "_FEW", few)
+            monkeypatch.setattr(substrings, "_MANY", many)
+            found = substrings.compared(block, 30, 5, 0.8)
+            got.append((len(found), {(r[0], k) for r in found for k in range(r[2], r[3])}))
+        assert got[0][1] == got[1][1] == got[2][1] and got[0][1]
